@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.operators.ordered import chunked, with_latest, with_position, with_previous
+from recordloom.operators.skew import salted_join
 
 # How roles are typed, and what stands in for a missing text.
 USER_ROLES = ("user", "human", "usr", "patient", "doctor", "clinician", "customer", "client", "person", "me", "u")
@@ -79,20 +80,29 @@ def defects(messages: DataFrame, conversations: DataFrame) -> DataFrame:
 def calibrated_gap(gaps: DataFrame) -> float:
     """The pause in seconds that parts sessions, from the histogram of log2 pauses (at most 64 rows reach the driver).
 
-    Otsu's threshold: the cut that parts the histogram into two classes with the least spread within. No pauses: infinity.
+    The pauses within a session and those between sessions form two hills: the cut is the middle of the widest valley above the
+    median, a stretch of bins that together hold at most one pause in a thousand. No such valley below a longer pause: infinity.
     """
     rows = gaps.where("gap > 0").groupBy(F.greatest(F.lit(-8), F.least(F.lit(55), F.floor(F.log2("gap")))).alias("bin")).agg(F.count("*").alias("n")).collect()
-    counts = sorted((int(r["bin"]), r["n"]) for r in rows)
-    if len(counts) < 2:
+    counts = {int(r["bin"]): r["n"] for r in rows}
+    total = sum(counts.values())
+    if not counts:
         return math.inf
-    total, all_sum = sum(n for _, n in counts), sum(b * n for b, n in counts)
-    best, cut, n0, s0 = -1.0, counts[-1][0] + 1, 0, 0
-    for (b, n), (nxt, _) in zip(counts, counts[1:]):
-        n0, s0 = n0 + n, s0 + b * n
-        between = n0 * (total - n0) * (s0 / n0 - (all_sum - s0) / (total - n0)) ** 2
-        if between > best:
-            best, cut = between, nxt
-    return 2.0**cut
+    below, median = 0, max(counts)
+    for b in sorted(counts):
+        below += counts[b]
+        if below * 2 >= total:
+            median = b
+            break
+    best, cut = 0, math.inf
+    for start in range(median + 1, max(counts)):
+        held, end = 0, start
+        while end < max(counts) and held + counts.get(end, 0) <= total / 1000:
+            held += counts.get(end, 0)
+            end += 1
+        if end - start > best and counts.get(start, 0) == 0:
+            best, cut = end - start, 2.0 ** ((start + end) / 2)
+    return cut
 
 
 def rebuilt(messages: DataFrame, conversations: DataFrame, gap: float | None = None) -> DataFrame:
@@ -106,8 +116,6 @@ def rebuilt(messages: DataFrame, conversations: DataFrame, gap: float | None = N
     known = conversations.select(F.col("_id").alias("conversation")).where("conversation IS NOT NULL").distinct()
     good = known.join(bad, "conversation", "left_anti")
     once = messages_once(messages, with_content=True).where("coalesce(code, '') <> 'SYSTEM' AND NOT blank")
-    from recordloom.operators.skew import salted_join
-
     rows = chunked(salted_join(once, good, ["conversation"], F.col("_id"), "left_semi"), "conversation", ORDER)
     timed = with_previous(rows, "conversation", ORDER, F.struct(F.col("createdAt").alias("at"), F.col("code").alias("code")), "last")
     seconds = (F.unix_micros(F.col("createdAt").cast("timestamp")) - F.unix_micros(F.col("last.at").cast("timestamp"))) / 1e6
