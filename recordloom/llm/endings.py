@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Marks that are put where a text was cut, damaged characters, and rests of character references.
-CUT_MARK = r"(?:\s*(?:\[\s*)?(?:…|\.{3,}|\[cut\]|\[truncated\]|\(truncated\)|<truncated>|\[continued\]|\(cont(?:\.|inued)?\)|\(more\)|\[more\])\s*\]?)+\s*$"
+CUT_MARK = r"(?:\s*(?:\[\s*)?(?:…|\.{3,}|\[cut\]|\[truncated\]|\(truncated\)|<truncated>|\[continued\]|\(cont(?:\.|inued)?\)|\(more\)|\[more\]|(?<=[\p{L}\p{N}])[-‐])\s*\]?)+\s*$"
 DAMAGED = r"(?:�|&#?[a-zA-Z0-9]{0,6};?|[\x00-\x08\x0b-\x1f]|Ã.?|Â|â€?)\s*$"
 STOP = "."  # token of the end of a sentence
 
@@ -40,7 +40,7 @@ def cut_texts(texts: DataFrame, terms: DataFrame | None = None, least_rate: floa
     A text that ends with the end of a sentence is whole, unless its last word is a number whose copies always go on. Else its
     four, three, then two last words, then three words over all sources, are looked up: the text is whole at the first of them
     of whose other occurrences at least two and the share ``least_rate`` stop there, and cut at the first that occurs ``enough``
-    times and does not stop that often. Where none decides, the text is cut iff the two last words always go on elsewhere. Before
+    times and does not stop that often. Where none decides, the text is cut iff the two last words occur three times elsewhere and always go on. Before
     all that, a text is cut whose three last words never stand inside a text, while its last word begins longer words that follow
     the same word elsewhere: texts cut at one place may be many, and must not vouch for each other. Damaged characters at the end tell that a text was cut.
     Null and empty texts, and texts without letters, are whole.
@@ -89,7 +89,7 @@ def cut_texts(texts: DataFrame, terms: DataFrame | None = None, least_rate: floa
         often = stops >= least_rate * total
         verdict = F.when((stops >= 2) & often, False).when((total >= enough) & ~often, True).otherwise(verdict)
     stops2, total2 = F.coalesce(F.col("s2.stops") - own, F.lit(0)), F.coalesce(F.col("s2.all") - own, F.lit(0))
-    verdict = F.coalesce(verdict, (total2 > 0) & (stops2 == 0))
+    verdict = F.coalesce(verdict, (total2 >= 3) & (stops2 == 0))
     fragment = (F.coalesce(F.col("s3.inside"), F.lit(0)) == 0) & (F.coalesce("longer", F.lit(0)) > 0)
     verdict = F.when(fragment, True).otherwise(verdict)
     never_stops = (F.coalesce(F.col("s3.all"), F.lit(0)) >= enough) & (F.col("s3.stops") <= 1)  # this text's stop is the only one

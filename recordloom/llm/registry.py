@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recordloom.llm import p02_names, p03_conversations, p10_endings
+from recordloom.llm import p02_names, p03_conversations, p05_pairs, p10_endings
 
-MODULES = [p02_names, p03_conversations, p10_endings]
+MODULES = [p02_names, p03_conversations, p05_pairs, p10_endings]
 
 
 def queries() -> dict:
