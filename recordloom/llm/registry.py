@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recordloom.llm import p02_names, p03_conversations, p05_pairs, p07_entities, p08_leaks, p09_mixing, p10_endings
+from recordloom.llm import p02_names, p03_conversations, p04_pii, p05_pairs, p07_entities, p08_leaks, p09_mixing, p10_endings
 
-MODULES = [p02_names, p03_conversations, p05_pairs, p07_entities, p08_leaks, p09_mixing, p10_endings]
+MODULES = [p02_names, p03_conversations, p04_pii, p05_pairs, p07_entities, p08_leaks, p09_mixing, p10_endings]
 
 
 def queries() -> dict:
