@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recordloom.plans import p01_references, p06_units
+from recordloom.plans import p01_references, p06_units, relational, search
 
-MODULES = [p01_references, p06_units]
+MODULES = [p01_references, p06_units, relational, search]
 
 
 def queries() -> dict:
