@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from recordloom.plans import p01_references, p06_units, relational, search
+from recordloom.plans import history, p01_references, p06_units, relational, retrieval, search
 
-MODULES = [p01_references, p06_units, relational, search]
+MODULES = [p01_references, p06_units, relational, search, history, retrieval]
 
 
 def queries() -> dict:
