@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from recordloom.plans import history, p01_references, p06_units, relational, retrieval, search
+from recordloom.plans import history, lifecycle, p01_references, p06_units, relational, retrieval, scalars, search
+from recordloom.streaming import runs
 
-MODULES = [p01_references, p06_units, relational, search, history, retrieval]
+MODULES = [p01_references, p06_units, relational, search, history, retrieval, lifecycle, scalars, runs]
 
 
 def queries() -> dict:
