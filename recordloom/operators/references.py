@@ -51,7 +51,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame, deleted: DataFrame, b
     parent has a later ``created`` than the row. Null keys refer to nothing and are left out; a null ``created`` on either side
     is never late; rows delivered twice come out once; empty tables give no rows or only absent keys.
     """
-    used = refs.where(F.col("key").isNotNull())
+    used = refs.select("table_name", "field_name", "row_id", "space", "key", "created").where(F.col("key").isNotNull())
+    parents, deleted = parents.select("space", "key", "created"), deleted.select("space", "key")
     keys = used.groupBy("space", "key").agg(F.min("created").alias("first_use"))
     matched = match_runs(keys, key_runs(parents, block), block)
     absent = matched.where(~F.coalesce(F.col("key") <= F.col("run_end"), F.lit(False))).select("space", "key")

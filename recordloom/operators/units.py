@@ -113,7 +113,7 @@ def segment(text: str) -> tuple[tuple[float, Unit], ...]:
     word, a bar, or an optional prefix with a root. Longer pieces cost less, noise and prefixes cost a little.
     """
     text = plain(text).strip(" .;:")
-    if not text or text in NO_UNIT:
+    if not text or text in NO_UNIT or len(text) > 60:  # no unit is written that long
         return ()
     states: list[dict] = [{} for _ in range(len(text) + 1)]
     states[0][(False, (), 0.0)] = 0.0
@@ -317,11 +317,12 @@ def recorded_units(items: DataFrame, unit_table: DataFrame) -> DataFrame:
     """Numeric results with recorded unit and value in the field's common unit.
 
     Adds field, value, unit_code, source ('written', 'range' or 'default'), common_unit, common_value to the columns of ``items``.
-    Rows without a number, and fields that are not in the unit table, are left out. Where no unit is written, the range is held
+    Rows without a number, and fields that are not in the unit table, are left out; columns of the added names are replaced. Where no unit is written, the range is held
     against the typical ranges of the field's units (those that rows with a written unit show, moved by the factors of the
     table): the unit with the nearest range counts, the common one on a tie or without a range.
     """
     units = UnitTable.of(unit_table)
+    items = items.drop("field", "value", "unit_code", "source", "common_unit", "common_value", "_w", "_u", "_units")
     written = with_written_unit(items, units).where(F.col("value").isNotNull() & F.col("field").isin(*units.by_field))
     typical: dict[str, tuple[float, float | None, float]] = {}
     for r in bounded_rows(typical_ranges(written), 10_000, "the typical ranges"):
