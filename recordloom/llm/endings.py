@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.operators.skew import bounded_rows
+
 # Marks that are put where a text was cut, damaged characters, and rests of character references.
 CUT_MARK = r"(?:\s*(?:\[\s*)?(?:…|\.{3,}|\[cut\]|\[truncated\]|\(truncated\)|<truncated>|\[continued\]|\(cont(?:\.|inued)?\)|\(more\)|\[more\]|(?<=[\p{L}\p{N}])[-‐])\s*\]?)+\s*$"
 DAMAGED = r"(?:�|&#?[a-zA-Z0-9]{0,6};?|[\x00-\x08\x0b-\x1f]|Ã.?|Â|â€?)\s*$"
@@ -35,7 +37,7 @@ def cut_texts(texts: DataFrame, terms: DataFrame | None = None, least_rate: floa
     """(source, text) for each distinct pair whose text stops inside a word, a sentence or a line.
 
     ``texts``: source, text; texts of one source are written alike, and their ends are held against each other. ``terms`` (column
-    term) are names of an open class, as of medicines: they count as one word, so that a rare name has the company of the others.
+    term, at most 20,000) are names of an open class, as of medicines: they count as one word, so that a rare name has the company of the others.
 
     A text that ends with the end of a sentence is whole, unless its last word is a number whose copies always go on. Else its
     four, three, then two last words, then three words over all sources, are looked up: the text is whole at the first of them
@@ -50,8 +52,8 @@ def cut_texts(texts: DataFrame, terms: DataFrame | None = None, least_rate: floa
         "source", F.xxhash64("source", "text").alias("t"), "text", words(stem(F.col("text"))).alias("w"), F.col("text").rlike(DAMAGED).alias("damaged"), F.col("text").rlike(CUT_MARK).alias("marked")
     )
     if terms is not None:
-        known = terms.select(F.lower("term").alias("term")).where("term IS NOT NULL").distinct().agg(F.collect_set("term").alias("_terms"))  # one row, of the given list only
-        shaped = shaped.join(F.broadcast(known)).withColumn("v", F.transform("w", lambda x: F.when(F.array_contains("_terms", x), F.lit("<term>")).otherwise(x))).drop("_terms")
+        known = [r.term for r in bounded_rows(terms.select(F.lower("term").alias("term")).where("term IS NOT NULL").distinct(), 20_000, "the list of terms")]
+        shaped = shaped.withColumn("v", F.transform("w", lambda x: F.when(x.isin(*known), F.lit("<term>")).otherwise(x)))
     else:
         shaped = shaped.withColumn("v", F.col("w"))
     shaped = shaped.where(F.size("w") > 0)

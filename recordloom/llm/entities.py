@@ -95,8 +95,10 @@ def word_likeness(a: str, b: str) -> float:
         return 0.9
     if len(a) >= 3 and b.startswith(a):
         return 0.88
-    d = weighted_distance(a, b)
     longest = len(b)
+    if longest > 60 or longest - len(a) > 3:
+        return 0.0
+    d = weighted_distance(a, b)
     if d <= 1.25 and longest >= 4:
         return 0.92
     if d <= 2.3 and longest >= 6:
@@ -114,7 +116,9 @@ def name_likeness(a: str, b: str) -> tuple[float, float]:
         return 0.0, 0.0
     if sorted(x) == sorted(y):
         return 1.0, 0.0
-    joined = weighted_distance("".join(x), "".join(y)) if abs(sum(map(len, x)) - sum(map(len, y))) <= 3 else 9.0
+    if len(x) > 12 or len(y) > 12:  # no name of a person; equal or nothing
+        return (1.0, 0.0) if x == y else (0.0, 0.0)
+    joined = weighted_distance("".join(x), "".join(y)) if abs(sum(map(len, x)) - sum(map(len, y))) <= 3 and sum(map(len, x)) <= 200 else 9.0
     ties = sorted(((word_likeness(p, q), i, j) for i, p in enumerate(x) for j, q in enumerate(y)), reverse=True)
     left, right, got, by_initial, met = set(range(len(x))), set(range(len(y))), 0.0, 0, 0
     for s, i, j in ties:

@@ -47,7 +47,7 @@ ADDRESS = [
     re.compile(r"\b\d{1,4}(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|bd|place|chemin|impasse|allée|allee|quai|cours|route|passage|square|ruelle|sentier)\s+(?:(?:de|du|des|la|le|les|l['’]|d['’])\s*)*[\wÀ-ÿ'’\-]+(?-i:\s[A-ZÀ-Þ][\wÀ-ÿ'’\-]+)?", re.I),
     re.compile(r"\b(?:calle|avenida|avda\.?|av\.|plaza|paseo|camino|carrera|ronda|travesía|callejón|c/|pza\.?|glorieta|cuesta|rambla)\s+(?:(?:de|del|la|las|los|el)\s+)*[\wÀ-ÿ'’\-]+(?:\s+[\wÀ-ÿ'’\-]+){0,2}?,?\s*(?:n[.ºo°]*\s*)?\d{1,4}\b", re.I),
 ]
-NUMBER = re.compile(r"(?<![\w.,/])(?:[A-Za-z]{1,5}[-/ ]{0,2})?[+(]?\d[\d\s().\-/]*(?:[A-Za-z]{1,2}\d[\d\-]*)?\d(?:-?[A-Za-z]\b)?(?!\w|[.,]\d)")
+NUMBER = re.compile(r"(?<![\w.,/])(?:[A-Za-z]{1,5}[-/ ]{0,2})?[+(]?\d[\d\s().\-/]{0,40}(?:[A-Za-z]{1,2}\d[\d\-]{0,20})?\d(?:-?[A-Za-z]\b)?(?!\w|[.,]\d)")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*\.?|\d+|[^\w\s]")
 _PAPER = re.compile(rf"(?:\b|^)(?:{PAPERS})\b(?:\s+(?:number|no|nr|num|card|id|código|nummer))?[\s.:#°º\-]*$", re.I)
 # Words that begin sentences and are no names.
@@ -188,7 +188,7 @@ def personal_spans(texts: DataFrame, names: DataFrame, rounds: int = 3, least: f
         keys = ("kind", "start", "end", "instance", "l2", "l1", "r1", "r2", "seed")
         return pd.Series([[dict(zip(keys, c)) for c in candidates(t, given)] if t else [] for t in text], dtype="object")
 
-    once = texts.where("text IS NOT NULL AND text <> ''").distinct()
+    once = texts.select("table_name", "row_id", "field_name", "text").where("text IS NOT NULL AND text <> ''").distinct()
     spans = checkpointed(once.select("table_name", "row_id", "field_name", F.explode(find("text")).alias("s")).select("table_name", "row_id", "field_name", "s.*"))
     sure = spans.where("seed <> ''").select("table_name", "row_id", "field_name", "start", "end", F.col("seed").alias("pii_type"))
 
@@ -251,5 +251,5 @@ def redacted(texts: DataFrame, spans: DataFrame) -> DataFrame:
         return pd.Series(out, dtype="object")
 
     by_text = spans.groupBy("table_name", "row_id", "field_name").agg(F.collect_list(F.struct("start", "end", "pii_type")).alias("found"))
-    joined = texts.distinct().join(by_text, ["table_name", "row_id", "field_name"], "left")
+    joined = texts.select("table_name", "row_id", "field_name", "text").distinct().join(by_text, ["table_name", "row_id", "field_name"], "left")
     return joined.select("table_name", "row_id", "field_name", replace("text", "found").alias("text"))
