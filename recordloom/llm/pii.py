@@ -12,6 +12,7 @@ r"""Personal data inside free text, found by bootstrapping.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,15 +40,26 @@ EMAIL = re.compile(
     re.I,
 )
 _W = r"[A-Za-zÀ-ÿ'’\-]+"
-_HOUSE = r"(?:no\.?\s*|house\s*|flat\s*\w+,?\s*|apt\.?\s*\w+,?\s*|plot\s*|unit\s*\w+,?\s*|h\.?\s?no\.?\s*)?\d{1,5}(?:\s?[/\-]?\s?[A-Z]\b)?(?:/\d+)?"
+_HOUSE = re.compile(r"\b(?:no\.?|house|flat\s*\w+,?|apt\.?\s*\w+,?|plot|unit\s*\w+,?|h\.?\s?no\.?)\s*$", re.I)
 ADDRESS = [
-    re.compile(rf"\b{_HOUSE},?\s+(?:{_W}\.?\s+){{1,3}}?(?:{STREETS})\b\.?(?!\s+(?:{CLINIC}|practice))", re.I),
+    re.compile(rf"(?<![\w.,])\d{{1,5}}(?:\s?[/\-]?\s?[A-Z]\b)?(?:/\d+)?,?\s+(?:{_W}\.?\s+){{1,3}}?(?:{STREETS})\b\.?(?!\s+(?:{CLINIC}|practice))", re.I),
     re.compile(r"\b[A-ZÄÖÜa-zäöüß][\w\-äöüß]*(?:straße|strasse|str\.|weg|gasse|allee|platz|damm|ufer|steig|pfad|chaussee|stieg|markt|hof|graben|wall)\s+\d{1,4}\s?[a-z]?\b", re.I),
     re.compile(r"\b(?i:am|an der|an den|auf dem|zum|zur|unter den|hinter der)\s+[A-ZÄÖÜ][\w\-äöüß]+(?:\s+[A-ZÄÖÜ][\w\-äöüß]+)?\s+\d{1,4}\s?[a-z]?\b(?!\s*(?:\.|uhr|mg|januar|februar|märz|april|mai|juni|juli|august|september|oktober|november|dezember))"),
     re.compile(r"\b\d{1,4}(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|bd|place|chemin|impasse|allée|allee|quai|cours|route|passage|square|ruelle|sentier)\s+(?:(?:de|du|des|la|le|les|l['’]|d['’])\s*)*[\wÀ-ÿ'’\-]+(?-i:\s[A-ZÀ-Þ][\wÀ-ÿ'’\-]+)?", re.I),
     re.compile(r"\b(?:calle|avenida|avda\.?|av\.|plaza|paseo|camino|carrera|ronda|travesía|callejón|c/|pza\.?|glorieta|cuesta|rambla)\s+(?:(?:de|del|la|las|los|el)\s+)*[\wÀ-ÿ'’\-]+(?:\s+[\wÀ-ÿ'’\-]+){0,2}?,?\s*(?:n[.ºo°]*\s*)?\d{1,4}\b", re.I),
 ]
-NUMBER = re.compile(r"(?<![\w.,/])(?:[A-Za-z]{1,5}[-/ ]{0,2})?[+(]?\d[\d\s().\-/]{0,40}(?:[A-Za-z]{1,2}\d[\d\-]{0,20})?\d(?:-?[A-Za-z]\b)?(?!\w|[.,]\d)")
+NUMBER = re.compile(r"(?<![\w.,/])[+(]?\d[\d\s().\-/]{0,40}(?:[A-Za-z]{1,2}\d[\d\-]{0,20})?\d(?:-?[A-Za-z]\b)?(?!\w|[.,]\d)|(?<![\w.,])[A-Za-z]{1,5}[-/ ]{0,2}\d[\d\s().\-/]{2,40}\d(?:-?[A-Za-z]\b)?(?!\w|[.,]\d)")
+_DIGIT = re.compile(r"\d")
+_SIX_DIGITS = re.compile(r"\d(?:\D{0,4}\d){5}")
+_AT = re.compile(r"@|＠|[\[({<]at[\])}>]|\sat\s.{1,40}\sdot\s", re.I)
+_MR = re.compile(TITLES, re.I)
+_GAP = re.compile(r"\.?[^\S\n]+")
+_COMMA = re.compile(r",\s*")
+_DOT_GAP = re.compile(r"\.\s")
+_DATE = re.compile(r"[\d\s]*\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4}")
+_PREFIX = re.compile(r"[A-Za-z]{1,5}(?=[-/ ]{0,2}[+(]?\d)")
+_CHART = re.compile(r"(?:pt|mrn)[-/ o]{0,2}\d", re.I)
+_PLACE = re.compile(rf"\b(?:{CLINIC})\b")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*\.?|\d+|[^\w\s]")
 _PAPER = re.compile(rf"(?:\b|^)(?:{PAPERS})\b(?:\s+(?:number|no|nr|num|card|id|código|nummer))?[\s.:#°º\-]*$", re.I)
 # Words that begin sentences and are no names.
@@ -62,8 +74,8 @@ _LIKE_NAME = re.compile(r"[A-ZÀ-ÖØ-Þ][\w'’\-]+$")
 def _around(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
     """The two tokens before and after a span, in lower case, numbers as '#'; '^' and '$' beyond the text."""
     fold = lambda w: "#" if w.isdigit() else w.lower().rstrip(".") or w
-    left = [fold(m[0]) for m in _TOKEN.finditer(text[max(0, start - 60) : start])][-2:]
-    right = [fold(m[0]) for m in _TOKEN.finditer(text[end : end + 60])][:2]
+    left = [fold(w) for w in _TOKEN.findall(text[max(0, start - 40) : start])[-2:]]
+    right = [fold(w) for w in _TOKEN.findall(text[end : end + 40])[:2]]
     return ["^"] * (2 - len(left)) + left, right + ["$"] * (2 - len(right))
 
 
@@ -93,73 +105,88 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple]:
         (l2, l1), (r1, r2) = _around(text, s, e)
         out.append((kind, s, e, instance, l2, l1, r1, r2, seed))
 
-    for m in EMAIL.finditer(text):
-        taken.append(m.span())
-        add("E", *m.span(), "", "EMAIL")
-    for pattern in ADDRESS:
-        for m in pattern.finditer(text):
-            if free(*m.span()):
-                taken.append(m.span())
-                add("A", *m.span(), "", "ADDRESS")
-    for m in NUMBER.finditer(text):
+    if _AT.search(text):
+        for m in EMAIL.finditer(text):
+            taken.append(m.span())
+            add("E", *m.span(), "", "EMAIL")
+    if _DIGIT.search(text):
+        for pattern in ADDRESS:
+            for m in pattern.finditer(text):
+                s, e = m.span()
+                if free(s, e):
+                    if house := _HOUSE.search(text[max(0, s - 16) : s]):
+                        s -= len(house[0])
+                    taken.append((s, e))
+                    add("A", s, e, "", "ADDRESS")
+    for m in NUMBER.finditer(text) if _SIX_DIGITS.search(text) else ():
         s, e = m.span()
         piece = m[0]
-        word = re.match(r"[A-Za-z]{1,5}(?=[-/ ]{0,2}[+(]?\d)", piece)
+        word = _PREFIX.match(piece)
         if word and " " in piece[: word.end() + 1] and not (word[0].isupper() and len(word[0]) <= 3 and word[0].lower() not in ("mg", "no", "nr", "id")):
             s += word.end()
             piece = text[s:e]
             s += len(piece) - len(piece.lstrip(" -/"))
             piece = text[s:e]
         digits = re.sub(r"\D", "", piece)
-        if len(digits) < 6 or not free(s, e) or re.fullmatch(r"[\d\s]*\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4}", piece):
+        if len(digits) < 6 or not free(s, e) or _DATE.fullmatch(piece):
             continue
         before = text[max(0, s - 40) : s]
-        seed = "ID_NUMBER" if _PAPER.search(before) or re.match(r"(?:pt|mrn)[-/ o]{0,2}\d", piece, re.I) else "PHONE" if _phone_like(piece) else ""
+        seed = "ID_NUMBER" if _PAPER.search(before) or _CHART.match(piece) else "PHONE" if _phone_like(piece) else ""
         taken.append((s, e))
         add("N", s, e, shape(piece), seed)
-    words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text) if free(*m.span())]
-    k = 0
-    while k < len(words):
+    words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
+    if taken:
+        words = [w for w in words if free(w[0], w[1])]
+    is_given = lambda low: low in given or ("-" in low and any(p in given for p in low.split("-")))
+    k, n_words = 0, len(words)
+    while k < n_words:
         s, e, w = words[k]
         low = w.lower()
-        titled = re.fullmatch(TITLES, low) is not None and k + 1 < len(words) and re.fullmatch(r"\.?\s+", text[e : words[k + 1][0]]) is not None and (w[0].isupper() or low in given)
-        known = any(p in given for p in low.split("-")) and len(w) > 2
-        capital = _LIKE_NAME.match(w) is not None and len(w) > 2 and low not in PLAIN
-        initial = len(w) == 1 and text[e : e + 2] in (". ", ".") and k + 1 < len(words) and words[k + 1][0] - e <= 2 and len(words[k + 1][2]) > 3
+        upper = w[0].isupper()
+        known = low in given or ("-" in low and is_given(low))
+        if not known and not upper and not (len(w) == 1 and text[e : e + 1] == "."):
+            k += 1
+            continue
+        titled = upper and len(w) < 9 and _MR.fullmatch(low) is not None and k + 1 < n_words and _GAP.fullmatch(text, e, words[k + 1][0]) is not None
+        capital = upper and len(w) > 2 and low not in PLAIN
+        initial = len(w) == 1 and text[e : e + 1] == "." and k + 1 < n_words and words[k + 1][0] - e <= 2 and len(words[k + 1][2]) > 3
         if not (titled or known or capital or initial):
             k += 1
             continue
         j, parts, seed = k, [], known or titled
         if titled:
             j += 1
-        while j < len(words):
+        while j < n_words:
             s2, e2, w2 = words[j]
+            low2 = w2.lower()
             if j > k:
-                gap = text[words[j - 1][1] : s2]
-                comma = re.fullmatch(r",\s*", gap) is not None and (w2.lower() in given or any(p in given for p in parts) is False)
-                if not (re.fullmatch(r"\.?[^\S\n]+", gap) or (comma and w2.lower() in given)):
+                last_end, last = words[j - 1][1], words[j - 1][2]
+                if not _GAP.fullmatch(text, last_end, s2) and not (low2 in given and _COMMA.fullmatch(text, last_end, s2)):
                     break
-                if re.search(r"\.\s", gap) and len(words[j - 1][2]) > 1 and not (titled and j == k + 1):
+                if len(last) > 1 and text[last_end] == "." and not (titled and j == k + 1):
                     break
-            low2 = w2.lower()
-            ok = len(w2) == 1 and w2.isalpha() and (w2.isupper() or text[e2 : e2 + 1] == ".") or low2 in given or any(p in given for p in low2.split("-")) or _LIKE_NAME.match(w2)
-            if not ok and j > k and (len(words[j - 1][2]) == 1 and text[words[j - 1][1] : words[j - 1][1] + 1] == "." and len(w2) > 3):
-                ok = True
-            if not ok and titled and j == k + 1:
-                ok = len(w2) > 3
+                after_initial = len(last) == 1 and text[last_end] == "." and len(w2) > 3
+            else:
+                after_initial = False
+            ok = (
+                (w2[0].isupper() and (len(w2) > 1 or True)) or (len(w2) == 1 and text[e2 : e2 + 1] == ".") or is_given(low2) or after_initial
+                or (titled and j == k + 1 and len(w2) > 3)
+            )
             if not ok:
                 break
             seed = seed or low2 in given
             parts.append(low2)
             j += 1
-        if not parts or j == k:
+        if not parts:
             k += 1
             continue
+        end = words[j - 1][1]
         longest = max(parts, key=len)
-        if len(longest) > 2 and not re.search(rf"\b(?:{CLINIC})\b", " ".join(parts) + " " + text[words[j - 1][1] : words[j - 1][1] + 14].lower().split(".")[0]):
-            add("P", s, words[j - 1][1], longest, "NAME" if seed else "")
-        elif seed and any(p in given for p in parts):
-            add("P", s, words[j - 1][1], longest, "")
+        if len(longest) > 2:
+            if not _PLACE.search(" ".join(parts) + " " + text[end : end + 14].lower().split(".")[0]):
+                add("P", s, end, longest, "NAME" if seed else "")
+            elif seed and any(p in given for p in parts):
+                add("P", s, end, longest, "")
         k = j
     return out
 
@@ -172,9 +199,6 @@ def frequent_given_names(names: DataFrame, share: float = 0.001) -> frozenset[st
     return frozenset(r.word for r in bounded_rows(often.select("word"), int(1 / share) + 1, "the frequent names"))
 
 
-SPAN = "array<struct<kind: string, start: int, end: int, instance: string, l2: string, l1: string, r1: string, r2: string, seed: string>>"
-
-
 def personal_spans(texts: DataFrame, names: DataFrame, rounds: int = 3, least: float = 0.5) -> DataFrame:
     """(table_name, row_id, field_name, start, end, pii_type) of the personal data in ``texts``.
 
@@ -183,13 +207,21 @@ def personal_spans(texts: DataFrame, names: DataFrame, rounds: int = 3, least: f
     """
     given = frequent_given_names(names)
 
-    @F.pandas_udf(SPAN)
-    def find(text: pd.Series) -> pd.Series:
-        keys = ("kind", "start", "end", "instance", "l2", "l1", "r1", "r2", "seed")
-        return pd.Series([[dict(zip(keys, c)) for c in candidates(t, given)] if t else [] for t in text], dtype="object")
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict = {}  # texts repeat
+        for rows in batches:
+            out = []
+            for name, row, field, text in zip(rows["table_name"], rows["row_id"], rows["field_name"], rows["text"]):
+                if text not in memo:
+                    if len(memo) >= 50_000:
+                        memo.clear()
+                    memo[text] = candidates(text, given)
+                out += [(name, row, field, *c) for c in memo[text]]
+            yield pd.DataFrame(out, columns=["table_name", "row_id", "field_name", "kind", "start", "end", "instance", "l2", "l1", "r1", "r2", "seed"])
 
     once = texts.select("table_name", "row_id", "field_name", "text").where("text IS NOT NULL AND text <> ''").distinct()
-    spans = checkpointed(once.select("table_name", "row_id", "field_name", F.explode(find("text")).alias("s")).select("table_name", "row_id", "field_name", "s.*"))
+    schema = "table_name string, row_id bigint, field_name string, kind string, start int, end int, instance string, l2 string, l1 string, r1 string, r2 string, seed string"
+    spans = checkpointed(once.mapInPandas(find, schema))
     sure = spans.where("seed <> ''").select("table_name", "row_id", "field_name", "start", "end", F.col("seed").alias("pii_type"))
 
     # the graph: distinct (kind, instance, left pattern, right pattern) with the number of occurrences and of seeds by type
