@@ -210,19 +210,20 @@ def candidate_pairs(people: DataFrame) -> DataFrame:
     return near.unionByName(paired).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
-def average_linkage(pairs: DataFrame, least: float, max_rounds: int = 40) -> DataFrame:
-    """(id, cluster): average-linkage clustering of the ids in ``pairs`` (a, b, score); pairs that are absent score 0.
+def average_linkage(pairs: DataFrame, least: float, absent: float = 0.25, max_rounds: int = 40) -> DataFrame:
+    """(id, cluster): average-linkage clustering of the ids in ``pairs`` (a, b, score); pairs that are not given
+    score ``absent``, which is less than ``least`` (nothing is known of them).
 
     In each round every cluster names the cluster with the highest average score, at least ``least`` (the smaller id on a tie),
     and all pairs that name each other are merged. As average linkage never draws a merged pair nearer to a third cluster than
     the nearer of the two was, these merges are those of the usual one-by-one procedure. Ends when no pair is left.
     """
-    edges = checkpointed(pairs.where("score > 0").select("a", "b", F.col("score").alias("total")))
+    edges = checkpointed(pairs.select("a", "b", F.col("score").alias("total"), F.lit(1).cast("bigint").alias("known")))
     members = checkpointed(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("cluster", F.col("id")))
     sizes = members.groupBy("cluster").agg(F.count("*").alias("n"))
     for _ in range(max_rounds):
         sized = edges.join(sizes.withColumnRenamed("cluster", "a").withColumnRenamed("n", "n_a"), "a").join(sizes.withColumnRenamed("cluster", "b").withColumnRenamed("n", "n_b"), "b")
-        near = sized.withColumn("mean", F.round(F.col("total") / (F.col("n_a") * F.col("n_b")), 9)).where(F.col("mean") >= least)
+        near = sized.withColumn("mean", F.round((F.col("total") + absent * (F.col("n_a") * F.col("n_b") - F.col("known"))) / (F.col("n_a") * F.col("n_b")), 9)).where(F.col("mean") >= least)
         both = near.select("a", "b", "mean").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "mean"))
         # of equal means, the pair with the smallest ids counts, the same pair seen from either side
         nearest = both.groupBy("a").agg(F.min_by("b", F.struct(-F.col("mean"), F.least("a", "b"), F.greatest("a", "b"))).alias("b"))
@@ -233,7 +234,7 @@ def average_linkage(pairs: DataFrame, least: float, max_rounds: int = 40) -> Dat
         members = checkpointed(members.join(mutual, members.cluster == mutual.old, "left").select("id", F.coalesce("new", "cluster").alias("cluster")))
         moved = edges.join(mutual.select(F.col("old").alias("a"), F.col("new").alias("a_new")), "a", "left").join(mutual.select(F.col("old").alias("b"), F.col("new").alias("b_new")), "b", "left")
         p, q = F.coalesce("a_new", "a"), F.coalesce("b_new", "b")
-        merged = moved.select(F.least(p, q).alias("a"), F.greatest(p, q).alias("b"), "total").where("a <> b").groupBy("a", "b").agg(F.sum("total").alias("total"))
+        merged = moved.select(F.least(p, q).alias("a"), F.greatest(p, q).alias("b"), "total", "known").where("a <> b").groupBy("a", "b").agg(F.sum("total").alias("total"), F.sum("known").alias("known"))
         edges = checkpointed(merged)
         sizes = members.groupBy("cluster").agg(F.count("*").alias("n"))
     return members

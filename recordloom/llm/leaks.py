@@ -7,7 +7,6 @@ line breaks do not matter. Hits of one item are chained in order; the chain's wo
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import ahocorasick
@@ -36,7 +35,7 @@ def squeezed(text: str) -> tuple[str, list[int]]:
 
 
 def item_words(text: str) -> list[str]:
-    return [squeezed(w)[0] for w in re.findall(r"\w+", text)]
+    return [w for w in (squeezed(x)[0] for x in text.split()) if w]
 
 
 def automaton(items: tuple[tuple[int, str], ...]):
