@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,13 +25,12 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where nothing is set, as in tests on one machine,
-    a folder of this machine is taken; on a cluster that is refused, because executors would not share it.
+    Only where nothing is set, as in tests on one machine, a folder of this machine is taken; on a cluster that is refused, because
+    executors would not share it.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
@@ -39,4 +39,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             named = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder: of wide rows, later reads take only the columns they need."""
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.parquet(place)

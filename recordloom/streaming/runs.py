@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from recordloom.functions.text import tokens
+from recordloom.session import shared_folder
 from recordloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -27,17 +27,6 @@ def query(sql: str | None = None):
     return keep
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the place that all executors share; one of this machine only where none is set, as in tests."""
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table as a stream of its files; ``ts`` becomes a timestamp that watermarks accept."""
     path = f"{folder}/{name}.parque[t]"  # a pattern, as a file source takes folders and patterns but no single file
@@ -47,7 +36,7 @@ def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def finished(df: DataFrame, mode: str) -> DataFrame:
     """Run the stream over all that is there, each batch written to the shared folder, and read the result."""
-    spark, base = df.sparkSession, shared_folder(df.sparkSession)
+    spark, base = df.sparkSession, f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
     how = "append" if mode == "append" else "overwrite"
     q = (
         df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
