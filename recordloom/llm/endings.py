@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.operators.skew import bounded_rows
+from recordloom.session import written
 
 # Marks that are put where a text was cut, damaged characters, and rests of character references.
 CUT_MARK = r"(?:\s*(?:\[\s*)?(?:…|\.{3,}|\[cut\]|\[truncated\]|\(truncated\)|<truncated>|\[continued\]|\(cont(?:\.|inued)?\)|\(more\)|\[more\]|(?<=[\p{L}\p{N}])[-‐])\s*\]?)+\s*$"
@@ -56,7 +57,7 @@ def cut_texts(texts: DataFrame, terms: DataFrame | None = None, least_rate: floa
         shaped = shaped.withColumn("v", F.transform("w", lambda x: F.when(x.isin(*known), F.lit("<term>")).otherwise(x)))
     else:
         shaped = shaped.withColumn("v", F.col("w"))
-    shaped = shaped.where(F.size("w") > 0)
+    shaped = written(shaped.where(F.size("w") > 0))  # read in several places; the tokens are made once
 
     n = F.size("v")
     word = lambda array, i: F.when(i >= 1, F.try_element_at(array, F.greatest(i, F.lit(1)))).otherwise(F.lit("^"))
