@@ -36,15 +36,15 @@ STREETS = (
 CLINIC = r"clinic|hospital|centre|center|practice|surgery|unit|polyclinic|institute|ward|pharmacy|department|laboratory|lab"
 EMAIL = re.compile(
     r"[\w.+\-]{1,64}\s?(?:@|\(at\)|\[at\]|\{at\}|<at>|＠)\s?[\w\-]+(?:(?:\.|\s?(?:\(dot\)|\[dot\]|\{dot\}|<dot>)\s?)[a-z\-]{2,24}){1,4}"
-    r"|[\w.+\-]{2,64}\s+(?:at|\[at\]|\(at\)|@)\s+[\w\-]+\s+(?:dot|\[dot\]|\(dot\)|\.)\s+[a-z]{2,12}",
+    r"|[\w.+\-]{2,64}(?:\s+dot\s+[\w+\-]{1,64}){0,3}\s+(?:at|\[at\]|\(at\)|@)\s+[\w\-]+\s+(?:dot|\[dot\]|\(dot\)|\.)\s+[a-z]{2,12}",
     re.I,
 )
 _W = r"[A-Za-zÀ-ÿ'’\-]+"
 _HOUSE = re.compile(r"\b(?:no\.?|house|flat\s*\w+,?|apt\.?\s*\w+,?|plot|unit\s*\w+,?|h\.?\s?no\.?)\s*$", re.I)
 ADDRESS = [
-    re.compile(rf"(?<![\w.,])\d{{1,5}}(?:\s?[/\-]?\s?[A-Z]\b)?(?:/\d+)?,?\s+(?:{_W}\.?\s+){{1,3}}?(?:{STREETS})\b\.?(?!\s+(?:{CLINIC}|practice))", re.I),
+    re.compile(rf"(?<![\w.,])\d{{1,5}}(?:\s?[/\-]?\s?[A-Z]\b)?(?:/\d+)?,?\s+(?:(?:[A-Za-z]{{1,2}}\.|{_W})\s+){{1,3}}?(?:{STREETS})\b\.?(?!\s+(?:{CLINIC}|practice))", re.I),
     re.compile(r"\b[A-ZÄÖÜa-zäöüß][\w\-äöüß]*(?:straße|strasse|str\.|weg|gasse|allee|platz|damm|ufer|steig|pfad|chaussee|stieg|markt|hof|graben|wall)\s+\d{1,4}\s?[a-z]?\b", re.I),
-    re.compile(r"\b(?i:am|an der|an den|auf dem|zum|zur|unter den|hinter der)\s+[A-ZÄÖÜ][\w\-äöüß]+(?:\s+[A-ZÄÖÜ][\w\-äöüß]+)?\s+\d{1,4}\s?[a-z]?\b(?!\s*(?:\.|uhr|mg|januar|februar|märz|april|mai|juni|juli|august|september|oktober|november|dezember))"),
+    re.compile(r"\b(?i:am|an der|an den|auf dem|zum|zur|unter den|hinter der)\s+[A-ZÄÖÜ][\w\-äöüß]+(?:\s+[A-ZÄÖÜ][\w\-äöüß]+)?\s+\d{1,4}\s?[a-z]?\b(?!\s*(?:uhr|mg|januar|februar|märz|april|mai|juni|juli|august|september|oktober|november|dezember))"),
     re.compile(r"\b\d{1,4}(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|bd|place|chemin|impasse|allée|allee|quai|cours|route|passage|square|ruelle|sentier)\s+(?:(?:de|du|des|la|le|les|l['’]|d['’])\s*)*[\wÀ-ÿ'’\-]+(?-i:\s[A-ZÀ-Þ][\wÀ-ÿ'’\-]+)?", re.I),
     re.compile(r"\b(?:calle|avenida|avda\.?|av\.|plaza|paseo|camino|carrera|ronda|travesía|callejón|c/|pza\.?|glorieta|cuesta|rambla)\s+(?:(?:de|del|la|las|los|el)\s+)*[\wÀ-ÿ'’\-]+(?:\s+[\wÀ-ÿ'’\-]+){0,2}?,?\s*(?:n[.ºo°]*\s*)?\d{1,4}\b", re.I),
 ]
@@ -59,7 +59,7 @@ _DOT_GAP = re.compile(r"\.\s")
 _DATE = re.compile(r"[\d\s]*\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4}")
 _PREFIX = re.compile(r"[A-Za-z]{1,5}(?=[-/ ]{0,2}[+(]?\d)")
 _CHART = re.compile(r"(?:pt|mrn)[-/ o]{0,2}\d", re.I)
-_PLACE = re.compile(rf"\b(?:{CLINIC})\b")
+_PLACE = re.compile(rf"\b(?:{CLINIC})\b")  # of words in lower case
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*\.?|\d+|[^\w\s]")
 _PAPER = re.compile(rf"(?:\b|^)(?:{PAPERS})\b(?:\s+(?:number|no|nr|num|card|id|código|nummer))?[\s.:#°º\-]*$", re.I)
 # Words that begin sentences and are no names.
@@ -70,6 +70,12 @@ PLAIN = set(
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _LIKE_NAME = re.compile(r"[A-ZÀ-ÖØ-Þ][\w'’\-]+$")
 
+# Words after a number that show a measure or a sentence and no street.
+NO_STREET = PLAIN - {"end"} | set(
+    "mg g kg ml mcg l dl mmol cm mm percent week weeks day days hour hours minute minutes month months year years visit visits times tablets tablet dose doses january february march april may june july august september october november december "
+    "asked page am pm uhr mal a an by is".split()
+)
+
 
 def _around(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
     """The two tokens before and after a span, in lower case, numbers as '#'; '^' and '$' beyond the text."""
@@ -113,7 +119,7 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple]:
         for pattern in ADDRESS:
             for m in pattern.finditer(text):
                 s, e = m.span()
-                if free(s, e):
+                if free(s, e) and not (pattern is ADDRESS[0] and any(w in NO_STREET for w in _WORD.findall(m[0].lower())[:-1])):
                     if house := _HOUSE.search(text[max(0, s - 16) : s]):
                         s -= len(house[0])
                     taken.append((s, e))
@@ -148,7 +154,7 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple]:
             k += 1
             continue
         titled = upper and len(w) < 9 and _MR.fullmatch(low) is not None and k + 1 < n_words and _GAP.fullmatch(text, e, words[k + 1][0]) is not None
-        capital = upper and len(w) > 2 and low not in PLAIN
+        capital = upper and len(w) > 1 and low not in PLAIN
         initial = len(w) == 1 and text[e : e + 1] == "." and k + 1 < n_words and words[k + 1][0] - e <= 2 and len(words[k + 1][2]) > 3
         if not (titled or known or capital or initial):
             k += 1
@@ -165,11 +171,13 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple]:
                     break
                 if len(last) > 1 and text[last_end] == "." and not (titled and j == k + 1):
                     break
+                if low2 in PLAIN and not is_given(low2):
+                    break
                 after_initial = len(last) == 1 and text[last_end] == "." and len(w2) > 3
             else:
                 after_initial = False
             ok = (
-                (w2[0].isupper() and (len(w2) > 1 or True)) or (len(w2) == 1 and text[e2 : e2 + 1] == ".") or is_given(low2) or after_initial
+                w2[0].isupper() or (len(w2) == 1 and text[e2 : e2 + 1] == ".") or is_given(low2) or after_initial
                 or (titled and j == k + 1 and len(w2) > 3)
             )
             if not ok:
@@ -183,7 +191,8 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple]:
         end = words[j - 1][1]
         longest = max(parts, key=len)
         if len(longest) > 2:
-            if not _PLACE.search(" ".join(parts) + " " + text[end : end + 14].lower().split(".")[0]):
+            after = words[j][2] if j < n_words and words[j][0] - end == 1 else ""
+            if not _PLACE.search(" ".join(parts)) and not (after[:1].isupper() and _PLACE.fullmatch(after.lower())):
                 add("P", s, end, longest, "NAME" if seed else "")
             elif seed and any(p in given for p in parts):
                 add("P", s, end, longest, "")
