@@ -119,7 +119,7 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple]:
         for pattern in ADDRESS:
             for m in pattern.finditer(text):
                 s, e = m.span()
-                if free(s, e) and not (pattern is ADDRESS[0] and any(w in NO_STREET for w in _WORD.findall(m[0].lower())[:-1])):
+                if free(s, e) and not (pattern is ADDRESS[0] and any(len(w) > 1 and w in NO_STREET for w in _WORD.findall(m[0].lower())[:-1])):
                     if house := _HOUSE.search(text[max(0, s - 16) : s]):
                         s -= len(house[0])
                     taken.append((s, e))
