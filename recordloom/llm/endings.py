@@ -40,7 +40,7 @@ def cut_texts(texts: DataFrame, terms: DataFrame | None = None, least_rate: floa
     ``texts``: source, text; texts of one source are written alike, and their ends are held against each other. ``terms`` (column
     term, at most 20,000) are names of an open class, as of medicines: they count as one word, so that a rare name has the company of the others.
 
-    A text that ends with the end of a sentence is whole, unless its last word is a number whose copies always go on. Else its
+    A text that ends with the end of a sentence is whole, unless its last word is a number whose copies always go on, or stands after a bracket or dash where others are longer. Else its
     four, three, then two last words, then three words over all sources, are looked up: the text is whole at the first of them
     of whose other occurrences at least two and the share ``least_rate`` stop there, and cut at the first that occurs ``enough``
     times and does not stop that often. Where none decides, the text is cut iff the two last words occur three times elsewhere and always go on. Before
@@ -65,7 +65,7 @@ def cut_texts(texts: DataFrame, terms: DataFrame | None = None, least_rate: floa
     levels = {"s4": lambda i: F.xxhash64(F.lit(4), "source", at(i - 3), at(i - 2), at(i - 1), at(i)), "s3": lambda i: F.xxhash64(F.lit(3), "source", at(i - 2), at(i - 1), at(i)), "s2": lambda i: F.xxhash64(F.lit(2), "source", at(i - 1), at(i)), "all3": lambda i: F.xxhash64(F.lit(0), at(i - 2), at(i - 1), at(i))}  # noqa: E501
 
     def spot(i: Column) -> Column:
-        return F.struct(F.array(*(level(i) for level in levels.values())).alias("grams"), at(i - 1).alias("c"), word("w", i).alias("d"), ((i == n) | (at(i + 1) == STOP)).alias("stops"), (i < n).alias("inside"))
+        return F.struct(F.array(*(level(i) for level in levels.values())).alias("grams"), at(i - 1).alias("c"), word("w", i).alias("d"), ((i == n) | (at(i + 1) == STOP)).alias("stops"), ((i < n) & ~((i == n - 1) & (at(n) == STOP))).alias("inside"))
 
     spots = shaped.select(F.explode(F.transform(F.sequence(F.lit(1), n), spot)).alias("g")).select("g.*")
     counts = spots.select("stops", "inside", F.explode("grams").alias("gram")).groupBy("gram").agg(
@@ -96,5 +96,5 @@ def cut_texts(texts: DataFrame, terms: DataFrame | None = None, least_rate: floa
     fragment = (F.coalesce(F.col("s3.inside"), F.lit(0)) == 0) & (F.coalesce("longer", F.lit(0)) > 0)
     verdict = F.when(fragment, True).otherwise(verdict)
     never_stops = (F.coalesce(F.col("s3.all"), F.lit(0)) >= enough) & (F.col("s3.stops") <= 1)  # this text's stop is the only one
-    verdict = F.when(F.col("damaged"), True).when(F.col("marked") & ~F.col("is_end"), True).when(F.col("number_end"), never_stops).when(F.col("is_end"), False).otherwise(verdict)
+    verdict = F.when(F.col("damaged"), True).when(F.col("marked") & ~F.col("is_end"), True).when(F.col("number_end"), never_stops | (fragment & F.col("c").isin("(", "[", "-", "/") & (F.col("s3.all") * 50 < F.col("longer")))).when(F.col("is_end"), False).otherwise(verdict)
     return judged.where(verdict & F.col("text").rlike(r"\p{L}")).select("source", "text")
