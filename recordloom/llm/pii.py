@@ -228,7 +228,9 @@ def personal_spans(texts: DataFrame, names: DataFrame, rounds: int = 3, least: f
                 out += [(name, row, field, *c) for c in memo[text]]
             yield pd.DataFrame(out, columns=["table_name", "row_id", "field_name", "kind", "start", "end", "instance", "l2", "l1", "r1", "r2", "seed"])
 
-    once = texts.select("table_name", "row_id", "field_name", "text").where("text IS NOT NULL AND text <> ''").distinct()
+    once = texts.select("table_name", "row_id", "field_name", "text").where("text IS NOT NULL AND text <> ''")
+    # equal texts come to the same few tasks, which look through them once
+    once = once.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(4))).repartition("text", "_salt").distinct()
     schema = "table_name string, row_id bigint, field_name string, kind string, start int, end int, instance string, l2 string, l1 string, r1 string, r2 string, seed string"
     spans = checkpointed(once.mapInPandas(find, schema))
     sure = spans.where("seed <> ''").select("table_name", "row_id", "field_name", "start", "end", F.col("seed").alias("pii_type"))
