@@ -25,7 +25,7 @@ COMMON_CONTEXT = 200
 TITLES = "mr|mrs|ms|miss|dr|prof|smt|shri|sri|sr|sra|mme|mlle|m lle|herr|frau|kumari|master|baby|md|phd|jr|senior|junior|mx|sir|madam"
 # Short forms of given names.
 NICKNAMES = {
-    "alexander": "alex sasha xander lex", "alexandra": "alex sandra lexi", "andrew": "andy drew", "anthony": "tony ant", "benjamin": "ben benny benji", "charles": "charlie chuck chas", "christopher": "chris kit topher",
+    "alexander": "alex sasha xander lex sandy al", "alexandra": "alex sandra lexi", "andrew": "andy drew", "anthony": "tony ant", "benjamin": "ben benny benji", "charles": "charlie chuck chas", "christopher": "chris kit topher",
     "daniel": "dan danny", "david": "dave davy", "dmitri": "dima dimitri mitya", "dimitri": "dima mitya", "edward": "ed eddie ted ned teddy", "elizabeth": "liz beth eliza lizzie betty libby lisa", "esperanza": "espe",
     "frederick": "fred freddie", "gabriela": "gaby gabi", "gabriel": "gabe", "george": "georgie", "gregory": "greg", "harold": "harry hal", "henry": "harry hank", "isabella": "bella izzy isa", "jacob": "jake", "james": "jim jimmy jamie",
     "jennifer": "jen jenny", "jessica": "jess jessie", "john": "jack johnny jon", "jonathan": "jon jonny", "joseph": "joe joey", "josephine": "jo josie", "joshua": "josh", "katherine": "kate kathy katie kat kit", "kenneth": "ken kenny",
@@ -34,7 +34,7 @@ NICKNAMES = {
     "samantha": "sam", "samuel": "sam sammy", "stephanie": "steph steffi", "stephen": "steve", "steven": "steve", "susan": "sue susie suzie", "tamsin": "tam tammy", "theodore": "ted theo teddy", "thomas": "tom tommy", "timothy": "tim",
     "victoria": "vicky tori vic", "vincent": "vince", "virginia": "ginny", "walter": "walt", "william": "bill will billy liam willy", "zachary": "zach zack", "abigail": "abby gail", "amanda": "mandy", "barbara": "barb", "catherine": "cathy kate cat",
     "deborah": "deb debbie", "dorothy": "dot dolly", "eleanor": "ellie nell nora", "emily": "em emmy", "farid": "fred", "ismail": "ish", "kavita": "kavi", "leila": "lee", "mateo": "teo", "meenal": "meenu", "mireille": "mimi", "hortense": "hortie",
-    "padma": "paddy", "ravindra": "ravi", "suresh": "suri", "tariq": "tari", "celeste": "cel", "bogdan": "bogie", "ingrid": "inga", "anaya": "anu", "francis": "frank", "franklin": "frank", "raymond": "ray", "donald": "don", "douglas": "doug",
+    "padma": "paddy", "ravindra": "ravi", "suresh": "suri", "tariq": "tari", "celeste": "cel", "bogdan": "bogie", "ingrid": "inga", "anaya": "anu", "francis": "frank", "francisco": "paco pancho frank cisco", "lorenzo": "enzo larry", "jose": "pepe", "gunnar": "gunni", "haruki": "haru", "odette": "odi", "yusra": "yus", "franklin": "frank", "raymond": "ray", "donald": "don", "douglas": "doug",
 }
 _FORMAL: dict[str, set[str]] = {}
 for _full, _short in NICKNAMES.items():
@@ -44,7 +44,8 @@ for _full, _short in NICKNAMES.items():
 
 def clean_name(name: Column) -> Column:
     """Lower case without accents, titles, digits and marks; look-alike digits inside words count as letters."""
-    text = F.translate(_strip_accents(F.lower(name)), "0158", "olsb")
+    apart = F.regexp_replace(name, r"(\p{Ll})(\p{Lu})", "$1 $2")  # words typed without a blank
+    text = F.translate(_strip_accents(F.lower(apart)), "0158", "olsb")
     text = F.regexp_replace(text, r"[^a-z]+", " ")
     return F.trim(F.regexp_replace(text, rf"\b(?:{TITLES})\b", " "))
 
@@ -110,8 +111,20 @@ def word_likeness(a: str, b: str) -> float:
 
 @lru_cache(maxsize=200_000)
 def name_likeness(a: str, b: str) -> tuple[float, float]:
-    """(likeness of the whole names in 0..1, share of it that rests on initials), order of the words aside."""
+    """(likeness of the whole names in 0..1, share of it that rests on initials), order of the words aside.
+
+    A name of one long word is also tried as two words, in case the blank was left out.
+    """
     x, y = a.split(), b.split()
+    best = _words_likeness(x, y)
+    if best[0] < 0.78:
+        for one, other in ((x, y), (y, x)):
+            if len(one) == 1 and 8 <= len(one[0]) <= 60 and 2 <= len(other) <= 12:
+                best = max([best, *(_words_likeness([one[0][:i], one[0][i:]], other) for i in range(2, len(one[0]) - 2))])
+    return best
+
+
+def _words_likeness(x: list[str], y: list[str]) -> tuple[float, float]:
     if not x or not y:
         return 0.0, 0.0
     if sorted(x) == sorted(y):
@@ -149,6 +162,9 @@ def date_likeness(a, b) -> str:
         return "same"
     if p[0] == q[0] and p[1] == q[2] and p[2] == q[1]:
         return "near"
+    apart = abs((a - b).days)
+    if abs(apart - 365.25) <= 2 or abs(apart - 3652.5) <= 3:  # a year or ten years off
+        return "near"
     differ = [k for k in range(3) if p[k] != q[k]]
     if len(differ) == 1:
         k = differ[0]
