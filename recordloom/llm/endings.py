@@ -71,7 +71,8 @@ def cut_texts(texts: DataFrame, terms: DataFrame | None = None, least_rate: floa
     counts = spots.select("stops", "inside", F.explode("grams").alias("gram")).groupBy("gram").agg(
         F.sum(F.col("stops").cast("bigint")).alias("stops"), F.sum(F.col("inside").cast("bigint")).alias("inside"), F.count("*").alias("all")
     )
-    begun = spots.where(F.length("d") > 1).groupBy("c", "d").agg(F.count("*").alias("n"))
+    steps = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(at(i - 1).alias("c"), word("w", i).alias("d")))
+    begun = shaped.select(F.explode(steps).alias("g")).select("g.*").where(F.length("d") > 1).groupBy("c", "d").agg(F.count("*").alias("n"))
     longer = begun.select("c", F.explode(F.transform(F.sequence(F.lit(1), F.length("d") - 1), lambda k: F.substring("d", F.lit(1), k))).alias("d"), "n").groupBy("c", "d").agg(F.sum("n").alias("longer"))
 
     is_end = at(n) == STOP
