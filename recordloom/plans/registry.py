@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from recordloom.plans import history, lifecycle, p01_references, p06_units, relational, retrieval, scalars, search
+from recordloom.plans import details, history, lifecycle, p01_references, p06_units, relational, retrieval, scalars, search
 from recordloom.streaming import runs
 
-MODULES = [p01_references, p06_units, relational, search, history, retrieval, lifecycle, scalars, runs]
+MODULES = [p01_references, p06_units, relational, search, history, retrieval, lifecycle, scalars, details, runs]
 
 
 def queries() -> dict:
