@@ -160,7 +160,7 @@ def map_names(values: DataFrame, reference: DataFrame, reference_limit: int = 10
         return pd.Series([one(*x) for x in zip(key, spelling, begins)], dtype="float64")
 
     tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    candidates = begun.unionByName(close).repartition(tasks, "key", "spelling").withColumn("cost", cost("key", "spelling", "begins"))
+    candidates = begun.unionByName(close).repartition(tasks, "key", "spelling").withColumn("cost", cost.asNondeterministic()("key", "spelling", "begins"))  # else the filter below is pushed down and costs are made for every join row
     short_key = F.length("key") < 7
     kept = candidates.where(F.col("begins") | (F.col("cost") <= F.when(short_key, 1.0).otherwise(2.0)))
     ranked = kept.join(F.broadcast(used), "entry", "left").withColumn(
