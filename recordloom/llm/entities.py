@@ -9,12 +9,14 @@ grouped by average-linkage clustering, carried out as rounds of joins that merge
 from __future__ import annotations
 
 import datetime
+import itertools
 import re
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from recordloom.llm.names import ALIKE, _strip_accents, weighted_distance
 from recordloom.session import checkpointed
@@ -226,34 +228,42 @@ def candidate_pairs(people: DataFrame) -> DataFrame:
     return near.unionByName(paired).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
 
 
-def average_linkage(pairs: DataFrame, least: float, absent: float = 0.25, max_rounds: int = 40) -> DataFrame:
+def average_linkage(pairs: DataFrame, least: float, absent: float = 0.25, weights: DataFrame | None = None) -> DataFrame:
     """(id, cluster): average-linkage clustering of the ids in ``pairs`` (a, b, score); pairs that are not given
-    score ``absent``, which is less than ``least`` (nothing is known of them).
-
-    In each round every cluster names the cluster with the highest average score, at least ``least`` (the smaller id on a tie),
-    and all pairs that name each other are merged. As average linkage never draws a merged pair nearer to a third cluster than
-    the nearer of the two was, these merges are those of the usual one-by-one procedure. Ends when no pair is left.
+    score ``absent``, which is less than ``least`` (nothing is known of them). ``weights`` (id, n): the rows an id stands for, 1
+    where it is not named.
+
+    In each round every cluster names the cluster with the highest average score, at least ``least``, and all pairs that name each
+    other are merged. As average linkage never draws a merged pair nearer to a third cluster than the nearer of the two was, these
+    merges are those of the one-by-one procedure under some order of equal averages. Ties go by a hash of the pair and the round, so that of n
+    clusters that are all equally near about half are merged in a round. The first of all pairs is always mutual, so each round
+    merges one pair at least; it ends only when no pair is left.
     """
-    edges = checkpointed(pairs.select("a", "b", F.col("score").alias("total"), F.lit(1).cast("bigint").alias("known")))
-    members = checkpointed(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("cluster", F.col("id")))
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"))
-    for _ in range(max_rounds):
-        sized = edges.join(sizes.withColumnRenamed("cluster", "a").withColumnRenamed("n", "n_a"), "a").join(sizes.withColumnRenamed("cluster", "b").withColumnRenamed("n", "n_b"), "b")
-        near = sized.withColumn("mean", F.round((F.col("total") + absent * (F.col("n_a") * F.col("n_b") - F.col("known"))) / (F.col("n_a") * F.col("n_b")), 9)).where(F.col("mean") >= least)
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    weighted = ids.withColumn("n", F.lit(1).cast("bigint")) if weights is None else ids.join(weights, "id", "left").select("id", F.coalesce("n", F.lit(1)).cast("bigint").alias("n"))
+    members = checkpointed(weighted.withColumn("cluster", F.col("id")))
+    sizes = members.groupBy("cluster").agg(F.sum("n").alias("n"))
+
+    def sized(df: DataFrame) -> DataFrame:
+        return df.join(sizes.withColumnRenamed("cluster", "a").withColumnRenamed("n", "n_a"), "a").join(sizes.withColumnRenamed("cluster", "b").withColumnRenamed("n", "n_b"), "b")
+
+    edges = checkpointed(sized(pairs.select("a", "b", "score")).select("a", "b", (F.col("score") * F.col("n_a") * F.col("n_b")).alias("total"), (F.col("n_a") * F.col("n_b")).alias("known")))
+    for turn in itertools.count():
+        near = sized(edges).withColumn("mean", F.round((F.col("total") + absent * (F.col("n_a") * F.col("n_b") - F.col("known"))) / (F.col("n_a") * F.col("n_b")), 9)).where(F.col("mean") >= least)
         both = near.select("a", "b", "mean").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "mean"))
-        # of equal means, the pair with the smallest ids counts, the same pair seen from either side
-        nearest = both.groupBy("a").agg(F.min_by("b", F.struct(-F.col("mean"), F.least("a", "b"), F.greatest("a", "b"))).alias("b"))
+        # the same pair has the same place seen from either side
+        low, high = F.least("a", "b"), F.greatest("a", "b")
+        nearest = both.groupBy("a").agg(F.min_by("b", F.struct(-F.col("mean"), F.xxhash64(low, high, F.lit(turn)), low, high)).alias("b"))
         mutual = nearest.alias("x").join(nearest.alias("y"), (F.col("x.a") == F.col("y.b")) & (F.col("x.b") == F.col("y.a"))).where("x.a < x.b").select(F.col("x.b").alias("old"), F.col("x.a").alias("new"))
         mutual = checkpointed(mutual)
         if mutual.isEmpty():
-            break
-        members = checkpointed(members.join(mutual, members.cluster == mutual.old, "left").select("id", F.coalesce("new", "cluster").alias("cluster")))
+            return members.select("id", "cluster")
+        members = checkpointed(members.join(mutual, members.cluster == mutual.old, "left").select("id", "n", F.coalesce("new", "cluster").alias("cluster")))
         moved = edges.join(mutual.select(F.col("old").alias("a"), F.col("new").alias("a_new")), "a", "left").join(mutual.select(F.col("old").alias("b"), F.col("new").alias("b_new")), "b", "left")
         p, q = F.coalesce("a_new", "a"), F.coalesce("b_new", "b")
         merged = moved.select(F.least(p, q).alias("a"), F.greatest(p, q).alias("b"), "total", "known").where("a <> b").groupBy("a", "b").agg(F.sum("total").alias("total"), F.sum("known").alias("known"))
         edges = checkpointed(merged)
-        sizes = members.groupBy("cluster").agg(F.count("*").alias("n"))
-    return members
+        sizes = members.groupBy("cluster").agg(F.sum("n").alias("n"))
 
 
 def people_of(patients: DataFrame) -> DataFrame:
@@ -266,23 +276,35 @@ def people_of(patients: DataFrame) -> DataFrame:
     )
 
 
+@F.pandas_udf(DoubleType())
+def _score(n1: pd.Series, n2: pd.Series, b1: pd.Series, b2: pd.Series, m1: pd.Series, m2: pd.Series, p1: pd.Series, p2: pd.Series, s1: pd.Series, s2: pd.Series) -> pd.Series:
+    return pd.Series([pair_score(*x) for x in zip(n1, n2, b1, b2, m1, m2, p1, p2, s1, s2)], dtype="float64")
+
+
 def scored_pairs(people: DataFrame) -> DataFrame:
     """(a, b, cosine, score) of the candidate pairs."""
     fields = F.struct("name", "birth", "mrn", "phone", "sex")
     left, right = people.select(F.col("id").alias("a"), fields.alias("l")), people.select(F.col("id").alias("b"), fields.alias("r"))
     both = candidate_pairs(people).join(left, "a").join(right, "b")
-
-    @F.pandas_udf("double")
-    def score(n1: pd.Series, n2: pd.Series, b1: pd.Series, b2: pd.Series, m1: pd.Series, m2: pd.Series, p1: pd.Series, p2: pd.Series, s1: pd.Series, s2: pd.Series) -> pd.Series:
-        return pd.Series([pair_score(*x) for x in zip(n1, n2, b1, b2, m1, m2, p1, p2, s1, s2)], dtype="float64")
-
-    return both.select("a", "b", "cosine", score("l.name", "r.name", "l.birth", "r.birth", "l.mrn", "r.mrn", "l.phone", "r.phone", "l.sex", "r.sex").alias("score"))
+    return both.select("a", "b", "cosine", _score("l.name", "r.name", "l.birth", "r.birth", "l.mrn", "r.mrn", "l.phone", "r.phone", "l.sex", "r.sex").alias("score"))
 
 
 def linked(patients: DataFrame, least: float = 0.4) -> DataFrame:
     """(id, cluster) for the rows of ``patients`` that are linked with another row; ``cluster`` is the smallest id of its group.
 
     ``patients``: _id, fullName, mrn, phone, dateOfBirth, gender; nulls in any of them are no evidence. Rows with one _id count
-    once.
+    once. Rows that agree in all fields are scored as one row that weighs as many: no row scores higher with another than with its
+    copy, so copies are the first to be merged. Rows that score under ``least`` even with a copy can be linked with none.
     """
-    return average_linkage(scored_pairs(people_of(patients)), least)
+    people = people_of(patients)
+    same = ["name", "folded", "birth", "mrn", "phone", "sex"]
+    self_score = _score("name", "name", "birth", "birth", "mrn", "mrn", "phone", "phone", "sex", "sex")
+    kept = checkpointed(people.groupBy(*same).agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("self", self_score).where(F.col("self") >= least).drop("self"))
+    groups = average_linkage(scored_pairs(kept.drop("n")), least, weights=kept.select("id", "n"))
+    # a group of copies alone has no pair of its own
+    of_kept = kept.where("n > 1").select("id").unionByName(groups.select("id")).distinct().join(groups, "id", "left").select(F.col("id").alias("first"), F.coalesce("cluster", "id").alias("cluster"))
+    met = of_kept.join(kept.withColumnRenamed("id", "first"), "first").select("cluster", *(F.col(c).alias(f"k_{c}") for c in same))
+    alike = people[same[0]].eqNullSafe(met[f"k_{same[0]}"])
+    for c in same[1:]:
+        alike = alike & people[c].eqNullSafe(met[f"k_{c}"])
+    return people.join(met, alike).select("id", "cluster")

@@ -106,3 +106,29 @@ def test_average_linkage_equals_one_by_one(spark):
     for r in average_linkage(spark.createDataFrame(pairs, "a bigint, b bigint, score double"), 0.4).collect():
         got.setdefault(r.cluster, set()).add(r.id)
     assert {frozenset(g) for g in got.values()} == naive_average_linkage(pairs, 0.4)
+
+
+def clusters(df):
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(r.cluster, set()).add(r.id)
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_average_linkage_ends_only_without_pairs(spark):
+    pairs = [(a, b, 1.0) for a in range(60) for b in range(a + 1, 60)]
+    assert clusters(average_linkage(spark.createDataFrame(pairs, "a bigint, b bigint, score double"), 0.4)) == {frozenset(range(60))}
+
+
+def test_average_linkage_weighs_ids(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.0), (2, 3, 0.8)], "a bigint, b bigint, score double")
+    assert clusters(average_linkage(pairs, 0.4)) == {frozenset({1, 2, 3})}
+    assert clusters(average_linkage(pairs, 0.4, weights=spark.createDataFrame([(1, 5)], "id bigint, n bigint"))) == {frozenset({1, 2}), frozenset({3})}
+
+
+def test_many_rows_of_one_person(spark):
+    d = dt.date(1973, 8, 23)
+    copies = [(k, "Michael Galmibury", "PT0007397512", None, d, "M") for k in range(100, 145)]
+    named = [(k, "Michael Galmibury", "PT0007397512", f"70{k}0{k}9", d, "M") for k in range(200, 204)]
+    got = clusters(linked(people(spark, copies + named + [(7, "Anna Orlowska", None, None, dt.date(1980, 1, 2), "F"), (8, "Anna Orlowska", None, None, dt.date(1980, 1, 2), "F"), (9, "Olga", None, None, None, None), (10, "Olga", None, None, None, None)])))
+    assert {g for g in got if len(g) > 1} == {frozenset([*range(100, 145), *range(200, 204)]), frozenset({7, 8})}
