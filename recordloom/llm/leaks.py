@@ -2,12 +2,15 @@
 
 The items are cut into runs of a few words; one Aho-Corasick automaton holds all runs without their blanks and marks. Each text is
 scanned once in the same form (lower case, letters and digits only, offsets kept), so that case, punctuation, spacing, hyphens and
-line breaks do not matter. Hits of one item are chained in order; the chain's words, less the edits between, decide.
+line breaks do not matter. Hits that follow each other are joined, extended word by word over single edits, and chained in order;
+the length of the running part of the item that the chain spans decides.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 
 import ahocorasick
 import pandas as pd
@@ -17,8 +20,8 @@ from pyspark.sql import functions as F
 from recordloom.operators.skew import bounded_rows
 
 RUN = 3
-EDIT_CHARS = 60  # text between two hits that may stand for exchanged, added or dropped words
-FOREIGN_CHARS = 500  # text between two hits that may be a foreign sentence, where the item goes on without a gap
+EDIT_CHARS = 60  # text between two stretches that may stand for several exchanged, added or dropped words
+SENTENCE_STOPS = 3  # ends of sentences about a foreign sentence: of the text before, its own, one for an abbreviation
 _CACHE: dict = {}
 
 
@@ -39,14 +42,15 @@ def item_words(text: str) -> list[str]:
 
 
 def automaton(items: tuple[tuple[int, str], ...]):
-    """The automaton over all runs of RUN words of the items; values are lists of (item, word number)."""
+    """The automaton over all runs of RUN words of the items, whose values are lists of (item, word number), and the items' words."""
     key = hash(items)
     if key not in _CACHE:
         runs: dict[str, list] = {}
-        for item, text in items:
-            words = item_words(text)
+        spelled: dict[int, list[str]] = {}
+        for number, (item, text) in enumerate(items):
+            words = spelled[number] = item_words(text)
             for k in range(max(1, len(words) - RUN + 1)):
-                runs.setdefault("".join(words[k : k + RUN]), []).append((item, k, len(words[k : k + RUN])))
+                runs.setdefault("".join(words[k : k + RUN]), []).append((number, k, len(words[k : k + RUN])))
         machine = ahocorasick.Automaton()
         for run, places in runs.items():
             if run:
@@ -54,59 +58,106 @@ def automaton(items: tuple[tuple[int, str], ...]):
         if len(machine):
             machine.make_automaton()
         _CACHE.clear()
-        _CACHE[key] = machine
+        _CACHE[key] = (machine, spelled, [item for item, _ in items])
     return _CACHE[key]
 
 
-def passages(text: str, machine, least: float) -> list[tuple[int, int, int, float]]:
+def _extended(words: list[str], flat: str, edges: set[int], k: int, at: int, step: int) -> tuple[int, int, int]:
+    """Where a stretch ends that goes on from item word ``k`` at place ``at``, forwards (``step`` 1) or backwards (-1), over edits
+    of a single word each, exchanged, dropped or added, and the number of these. Only whole words of the text count."""
+    edits = 0
+
+    def match(k: int, at: int) -> int | None:
+        if not 0 <= k < len(words):
+            return None
+        w = words[k]
+        lo, hi = (at, at + len(w)) if step > 0 else (at - len(w), at)
+        return (hi if step > 0 else lo) if lo in edges and hi in edges and flat.startswith(w, lo) else None
+
+    def run(k: int, at: int) -> int:
+        n = 0
+        while n < RUN and (to := match(k, at)) is not None:
+            k, at, n = k + step, to, n + 1
+        return n
+
+    while True:
+        if (to := match(k, at)) is not None:
+            k, at = k + step, to
+            continue
+        over = at + step
+        while 0 < over < len(flat) and over not in edges:
+            over += step
+        if not 0 <= over <= len(flat):
+            over = at
+        ways = [(run(k + step, over), k + step, over), (run(k + step, at), k + step, at), (run(k, over), k, over)]
+        n, k2, at2 = max(ways, key=lambda x: x[0])
+        if not n:
+            return k, at, edits
+        k, at, edits = k2, at2, edits + 1
+
+
+def passages(text: str, held, least: float) -> list[tuple[int, int, int, float]]:
     """(item, start, end, score) for each item with a chain of at least ``least`` words in the text; offsets of the text.
 
-    The score of a chain is the number of the item's words that it covers, less one for each word of the item that it skips, one
-    for each place where only the text has more, and four for a foreign sentence.
+    The score of a chain is the length in words of the part of the item that it spans, less one for each single word exchanged,
+    dropped or added; a foreign sentence where the item goes on is not charged, once in a chain. Where several words in a row are
+    exchanged or dropped, these do not count and each is charged one. A chain of one less counts if it spans a word more than
+    ``least`` all the same: two edits in a part of twelve words. (Items share turns of phrase, so more edits would find these.)
     """
+    machine, spelled, names = held
     flat, offsets = squeezed(text)
     if not flat or not len(machine):
         return []
-    by_item: dict[int, list] = {}
+    by_item: dict[int, set] = {}
     for end, (size, places) in machine.iter(flat):
         for item, k, n in places:
-            by_item.setdefault(item, []).append((end + 1 - size, end + 1, k, k + n))
+            by_item.setdefault(item, set()).add((k, end + 1 - size, n))
+    if not by_item:
+        return []
+    edges = {0, len(flat)}
+    edges.update(i for i in range(1, len(flat)) if offsets[i] - offsets[i - 1] > 1)
+    stops = [m.start() for m in re.finditer(r"[.!?](?=\s)|\n\s*\n", text)]
     found = []
     for item, hits in by_item.items():
-        if hits[-1][1] - hits[0][0] < 4 * RUN or len(hits) * RUN < least / 2:
+        words = spelled[item]
+        if len(words) < least:
             continue
-        hits.sort()
-        best: list[tuple[float, int]] = []  # score and start of the best chain that ends with the hit
-        top = (0.0, 0, 0)
-        for j, (s, e, a, b) in enumerate(hits):
-            score, start = float(b - a), s
-            for i in range(j - 1, -1, -1):
-                s2, e2, a2, b2 = hits[i]
-                if s - e2 > FOREIGN_CHARS:
-                    break
-                if s2 >= s or a2 >= a or b2 >= b:
-                    continue
-                if a < b2:  # the hits share words: they must share the same text
-                    if s >= e2:
-                        continue
-                    gain = float(b - b2)
-                else:
-                    skipped, between = a - b2, s - e2
-                    if between < 0 or skipped > 6:
+        starts, stretches = {(k, s) for k, s, _ in hits}, set()
+        for k, s, n in hits:
+            if k and (k - 1, s - len(words[k - 1])) in starts:
+                continue
+            b, e = k, s
+            while (b, e) in starts:
+                e += len(words[b])
+                b += 1
+            e += sum(map(len, words[b : b + n - 1]))
+            b += n - 1
+            stretches.add((e, s, k, b, 0))
+            b2, e2, after = _extended(words, flat, edges, b, e, 1)
+            a2, s2, before = _extended(words, flat, edges, k - 1, s, -1)
+            stretches.add((e2, s2, a2 + 1, b2, before + after))
+        ended: dict[int, list] = {}  # by last word: end, and score, span, start and foreign sentences of the best chain to there
+        top = (0.0, 0, 0, 0, 0)
+        for e, s, a, b, edits in sorted(stretches):
+            best = (float(b - a - edits), b - a, s, 0)
+            for b2 in range(a - 6, b):
+                known = ended.get(b2, [])
+                skipped = a - b2
+                for i in range(bisect_right(known, s, key=lambda x: x[0]) - 1, -1, -1):
+                    end, score, span, start, foreign = known[i]
+                    if s - end <= EDIT_CHARS:
+                        way = (score + b - b2 - edits - max(1, 2 * skipped if skipped > 1 else 1), span + b - b2 - (skipped if skipped > 1 else 0), start, foreign)
+                    elif skipped > 1 or bisect_left(stops, offsets[s]) - bisect_left(stops, offsets[end - 1]) > SENTENCE_STOPS:
+                        break
+                    elif foreign:
                         continue
-                    if between <= EDIT_CHARS:
-                        gain = b - a - skipped - (1.0 if between and not skipped else 0.0)
-                    elif skipped <= 1:
-                        gain = b - a - skipped - 4.0
                     else:
-                        continue
-                if best[i][0] + gain > score:
-                    score, start = best[i][0] + gain, best[i][1]
-            best.append((score, start))
-            if score > top[0]:
-                top = (score, start, e)
-        if top[0] >= least:
-            found.append((item, offsets[top[1]], offsets[top[2] - 1] + 1, top[0]))
+                        way = (score + b - b2 - edits - abs(skipped), span + b - b2, start, 1)
+                    best = max(best, way)
+            ended.setdefault(b, []).append((e, *best))
+            top = max(top, (*best, e))
+        if top[0] >= least or (top[0] >= least - 1 and top[1] > least):
+            found.append((names[item], offsets[top[2]], offsets[top[4] - 1] + 1, top[0]))
     return found
 
 
@@ -114,13 +165,14 @@ def leaked(texts: DataFrame, items: DataFrame, least: float = 11.0, item_limit:
     """(id, item_id, start, end, score): the items whose passage, or a running part of it, stands in a text.
 
     ``texts``: id, text. ``items``: item_id, text; a fixed list of at most ``item_limit`` rows, which every task holds. ``least``
-    is the score of a running part of twelve words with one exchanged. Null and empty texts and items give nothing.
+    is the score of a running part of twelve words with one exchanged. At least RUN words in a row must
+    be unedited, also on each side of foreign text. Null and empty texts and items give nothing.
     """
     held = tuple((r.item_id, r.text) for r in bounded_rows(items.where("text IS NOT NULL").select("item_id", "text").distinct(), item_limit, "the list of items"))
 
     @F.pandas_udf("array<struct<item_id: bigint, start: int, end: int, score: double>>")
     def scan(text: pd.Series) -> pd.Series:
-        machine = automaton(held)
-        return pd.Series([[{"item_id": i, "start": s, "end": e, "score": c} for i, s, e, c in passages(t, machine, least)] if t else [] for t in text], dtype="object")
+        found = automaton(held)
+        return pd.Series([[{"item_id": i, "start": s, "end": e, "score": c} for i, s, e, c in passages(t, found, least)] if t else [] for t in text], dtype="object")
 
     return texts.select("id", F.explode(scan("text")).alias("x")).select("id", "x.*")

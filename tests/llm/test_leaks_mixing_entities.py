@@ -31,6 +31,26 @@ def test_offsets():
     assert text[s:e].rstrip(".") == ITEM.rstrip(".") and score >= 20
 
 
+def test_parts_of_twelve_words():
+    words, held = ITEM.split(), automaton(((1, ITEM),))
+    part = words[4:16]
+
+    def edited(*places):
+        return " ".join("sudden" if k in places else w for k, w in enumerate(part))
+
+    foreign = "The stay in ward four lasted a few days, " * 3
+    for text in (
+        " ".join(part), edited(5), edited(1), edited(0), edited(5, 8), " ".join(part[:5] + part[6:]), " ".join(part[:5] + ["so"] + part[5:]), " ".join(part[:6]) + ". " + foreign + " ".join(part[6:]),
+        " ".join(part[:6]) + ". " + foreign * 6 + " ".join(part[6:]), " ".join(part[:6]) + ". " + foreign + " ".join(part)[len(" ".join(part[:6])) + 1 :],
+    ):
+        got = passages(f"Zeta note, {text}, omega note.", held, 11)
+        assert len(got) == 1 and 11 <= got[0][3] <= 12 or len(got) == 1 and got[0][3] == 10 and text == edited(5, 8), text
+    for text in (" ".join(part[:9]), edited(0, 1, 2), edited(2, 5, 8), " ".join(part[:4]) + " omega " * 30 + " ".join(part[7:])):
+        assert not passages(f"Zeta note, {text}, omega note.", held, 11), text
+    many = passages((ITEM + " ") * 500, held, 11)
+    assert len(many) == 1
+
+
 def test_mixing(spark):
     rng = random.Random(4)
     sizes = {"a": 900, "b": 300, "c": 60}
