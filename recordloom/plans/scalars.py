@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import quote
+
+import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -152,12 +157,25 @@ def json_repair(s, d):
 
 @query()
 def file_signatures(s, d):
-    """Files of the data folder by name, size and the first bytes of their content; files over 15 MB are not opened."""
+    """All files of the data folder by name, size and the first eight bytes of their content; no more of a file is read.
+
+    Files without a byte have no row: Spark's scan passes over them.
+    """
     # First bytes of the kinds of files that are told apart.
     kinds = {"25504446": "pdf", "89504E470D0A1A0A": "png", "FFD8FF": "jpeg", "52494646": "webp", "50415231": "parquet"}
-    files = s.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(d).where(F.col("length") <= 15 * 1024 * 1024)
-    head = F.hex(F.substring("content", 1, 8))
+    files = s.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(d).select("path", "length")
+
+    @F.pandas_udf("binary")
+    def first_bytes(paths: pd.Series) -> pd.Series:
+        def one(path: str) -> bytes:
+            fs, at = FileSystem.from_uri(re.sub("^file:/+", "file:///", quote(path, safe="/:@")))
+            with fs.open_input_file(at) as f:
+                return f.read(8)
+
+        return paths.map(one)
+
+    head = F.hex(first_bytes("path"))
     kind = F.lit("unknown")
     for magic, name in kinds.items():
-        kind = F.when(head.startswith(magic), name).otherwise(kind)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", kind.alias("kind"))
+        kind = F.when(F.col("head").startswith(magic), name).otherwise(kind)
+    return files.withColumn("head", head).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", kind.alias("kind"))
