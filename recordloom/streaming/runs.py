@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from recordloom.functions.text import tokens
 from recordloom.session import shared_folder
@@ -72,32 +70,24 @@ def stream_incremental_index(s, d):
     return finished(words.groupBy("token").agg(F.count("*").alias("n")), "complete")
 
 
-LIMIT, WINDOW_SECONDS = 3, 900
+LIMIT, WINDOW = 3, "15 minutes"
 
 
-def limited(key: tuple, batches, state: GroupState):
-    """Windows that begin at the first event of a key: events beyond LIMIT within WINDOW_SECONDS are rejected.
-
-    A key's state is two numbers. Rows of one micro-batch come in pieces and are ordered within each piece.
-    """
-    start, count = state.get if state.exists else (None, 0)
-    accepted = rejected = 0
-    for rows in batches:
-        for at in sorted(rows["at"].tolist()):
-            if start is None or at >= start + WINDOW_SECONDS:
-                start, count = at, 0
-            count += 1
-            accepted, rejected = (accepted + 1, rejected) if count <= LIMIT else (accepted, rejected + 1)
-    state.update((start, count))
-    yield pd.DataFrame({"user_id": [key[0]], "accepted": [accepted], "rejected": [rejected]})
+def rate_limited(events: DataFrame) -> DataFrame:
+    """(user_id, window, n): events (user_id, ts) by user and window of event time."""
+    return events.groupBy("user_id", F.window("ts", WINDOW).alias("w")).agg(F.count("*").alias("n"))
 
 
 @query()
 def stream_rate_limit(s, d):
-    """Accepted and rejected events by user in each micro-batch."""
-    rows = stream(s, d, "events").select("user_id", F.unix_timestamp("ts").cast("double").alias("at"))
-    out = rows.groupBy("user_id").applyInPandasWithState(limited, "user_id bigint, accepted bigint, rejected bigint", "start double, count bigint", "append", GroupStateTimeout.NoTimeout)
-    return finished(out, "append").groupBy("user_id").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
+    """Accepted and rejected events by user: of each window of fifteen minutes the first LIMIT events are accepted.
+
+    The windows are aligned to the epoch. The source application begins a window at the first request of a user after the last
+    window; that depends on the order in which events arrive, these windows do not, and they are counted before the shuffle.
+    """
+    counts = finished(rate_limited(stream(s, d, "events")), "complete")
+    accepted = F.least("n", F.lit(LIMIT))
+    return counts.groupBy("user_id").agg(F.sum(accepted).alias("accepted"), F.sum(F.col("n") - accepted).alias("rejected"))
 
 
 @query(
