@@ -25,20 +25,27 @@ SENTENCE_STOPS = 3  # ends of sentences about a foreign sentence: of the text be
 _CACHE: dict = {}
 
 
+_LETTERS = re.compile(r"[^\W_]+")
+
+
+def flattened(text: str) -> str:
+    """Letters and digits of a text, without case and accents."""
+    folded = text.casefold()
+    return "".join(_LETTERS.findall(folded if folded.isascii() else unicodedata.normalize("NFKD", folded)))
+
+
 def squeezed(text: str) -> tuple[str, list[int]]:
-    """Letters and digits of a text in lower case, and the offset of each in the text."""
+    """The same as ``flattened``, and the offset in the text of each of its characters."""
     out, at = [], []
     for k, ch in enumerate(text):
-        if ch.isalnum():
-            for c in unicodedata.normalize("NFKD", ch.lower()):
-                if c.isalnum():
-                    out.append(c)
-                    at.append(k)
+        for c in flattened(ch):
+            out.append(c)
+            at.append(k)
     return "".join(out), at
 
 
 def item_words(text: str) -> list[str]:
-    return [w for w in (squeezed(x)[0] for x in text.split()) if w]
+    return [w for w in map(flattened, text.split()) if w]
 
 
 def automaton(items: tuple[tuple[int, str], ...]):
@@ -96,32 +103,34 @@ def _extended(words: list[str], flat: str, edges: set[int], k: int, at: int, ste
         k, at, edits = k2, at2, edits + 1
 
 
-def passages(text: str, held, least: float) -> list[tuple[int, int, int, float]]:
-    """(item, start, end, score) for each item with a chain of at least ``least`` words in the text; offsets of the text.
+def passages(text: str, held, least: int) -> list[tuple[int, int, int, int, int]]:
+    """(item, start, end, span, edits) for each item of which a running part of at least ``least`` words stands in the text.
 
-    The score of a chain is the length in words of the part of the item that it spans, less one for each single word exchanged,
-    dropped or added; a foreign sentence where the item goes on is not charged, once in a chain. Where several words in a row are
-    exchanged or dropped, these do not count and each is charged one. A chain of one less counts if it spans a word more than
-    ``least`` all the same: two edits in a part of twelve words. (Items share turns of phrase, so more edits would find these.)
+    ``start`` and ``end`` are offsets of the text. ``span`` is the length in words of the part of the item, ``edits`` the number of
+    single words in it that were exchanged, added or dropped. One edit is free; each further one asks for three words more, as
+    items share turns of phrase: a part counts if span >= least and span - 3 * edits >= least - 3. A foreign sentence where the item
+    goes on counts as one edit, once in a part. Where several words in a row are exchanged or dropped, these do not count in ``span``,
+    and each is an edit.
     """
     machine, spelled, names = held
-    flat, offsets = squeezed(text)
+    flat = flattened(text)
     if not flat or not len(machine):
         return []
     by_item: dict[int, set] = {}
     for end, (size, places) in machine.iter(flat):
         for item, k, n in places:
             by_item.setdefault(item, set()).add((k, end + 1 - size, n))
+    # a part that counts has an unedited run of a third of ``least`` words at least, and RUN words make one hit
+    by_item = {item: hits for item, hits in by_item.items() if len(hits) > least // 3 - RUN and len(spelled[item]) >= least}
     if not by_item:
         return []
+    flat, offsets = squeezed(text)
     edges = {0, len(flat)}
     edges.update(i for i in range(1, len(flat)) if offsets[i] - offsets[i - 1] > 1)
     stops = [m.start() for m in re.finditer(r"[.!?](?=\s)|\n\s*\n", text)]
     found = []
     for item, hits in by_item.items():
         words = spelled[item]
-        if len(words) < least:
-            continue
         starts, stretches = {(k, s) for k, s, _ in hits}, set()
         for k, s, n in hits:
             if k and (k - 1, s - len(words[k - 1])) in starts:
@@ -135,44 +144,47 @@ def passages(text: str, held, least: float) -> list[tuple[int, int, int, float]]
             stretches.add((e, s, k, b, 0))
             b2, e2, after = _extended(words, flat, edges, b, e, 1)
             a2, s2, before = _extended(words, flat, edges, k - 1, s, -1)
-            stretches.add((e2, s2, a2 + 1, b2, before + after))
-        ended: dict[int, list] = {}  # by last word: end, and score, span, start and foreign sentences of the best chain to there
-        top = (0.0, 0, 0, 0, 0)
+            stretches.update({(e2, s, k, b2, after), (e, s2, a2 + 1, b, before), (e2, s2, a2 + 1, b2, before + after)})
+        ended: dict[int, list] = {}  # by last word: end, and worth, span, edits, start and foreign sentences of the best chain to there
+        top = None
         for e, s, a, b, edits in sorted(stretches):
-            best = (float(b - a - edits), b - a, s, 0)
+            best = (b - a - 3 * edits, b - a, edits, s, 0)
             for b2 in range(a - 6, b):
                 known = ended.get(b2, [])
                 skipped = a - b2
                 for i in range(bisect_right(known, s, key=lambda x: x[0]) - 1, -1, -1):
-                    end, score, span, start, foreign = known[i]
+                    end, _, span, had, start, foreign = known[i]
+                    alone = skipped <= 1  # at most one word exchanged or dropped
+                    longer = span + b - b2 - (0 if alone else skipped)
                     if s - end <= EDIT_CHARS:
-                        way = (score + b - b2 - edits - max(1, 2 * skipped if skipped > 1 else 1), span + b - b2 - (skipped if skipped > 1 else 0), start, foreign)
-                    elif skipped > 1 or bisect_left(stops, offsets[s]) - bisect_left(stops, offsets[end - 1]) > SENTENCE_STOPS:
+                        way = (longer, had + edits + (1 if alone else skipped), start, foreign)
+                    elif not alone or bisect_left(stops, offsets[s]) - bisect_left(stops, offsets[end - 1]) > SENTENCE_STOPS:
                         break
                     elif foreign:
                         continue
                     else:
-                        way = (score + b - b2 - edits - abs(skipped), span + b - b2, start, 1)
-                    best = max(best, way)
+                        way = (longer, had + edits + abs(skipped) + 1, start, 1)
+                    best = max(best, (way[0] - 3 * way[1], *way))
             ended.setdefault(b, []).append((e, *best))
-            top = max(top, (*best, e))
-        if top[0] >= least or (top[0] >= least - 1 and top[1] > least):
-            found.append((names[item], offsets[top[2]], offsets[top[4] - 1] + 1, top[0]))
+            if best[1] >= least and (top is None or best > top[:5]):
+                top = (*best, e)
+        if top is not None and top[0] >= least - 3:
+            found.append((names[item], offsets[top[3]], offsets[top[5] - 1] + 1, top[1], top[2]))
     return found
 
 
-def leaked(texts: DataFrame, items: DataFrame, least: float = 11.0, item_limit: int = 20_000) -> DataFrame:
-    """(id, item_id, start, end, score): the items whose passage, or a running part of it, stands in a text.
+def leaked(texts: DataFrame, items: DataFrame, least: int = 12, item_limit: int = 20_000) -> DataFrame:
+    """(id, item_id, start, end, span, edits): the items whose passage, or a running part of it, stands in a text.
 
     ``texts``: id, text. ``items``: item_id, text; a fixed list of at most ``item_limit`` rows, which every task holds. ``least``
-    is the score of a running part of twelve words with one exchanged. At least RUN words in a row must
-    be unedited, also on each side of foreign text. Null and empty texts and items give nothing.
+    is the least length in words of a running part (see ``passages``). At least RUN words in a row must be unedited, also on each
+    side of foreign text. Null and empty texts and items give nothing.
     """
     held = tuple((r.item_id, r.text) for r in bounded_rows(items.where("text IS NOT NULL").select("item_id", "text").distinct(), item_limit, "the list of items"))
 
-    @F.pandas_udf("array<struct<item_id: bigint, start: int, end: int, score: double>>")
+    @F.pandas_udf("array<struct<item_id: bigint, start: int, end: int, span: int, edits: int>>")
     def scan(text: pd.Series) -> pd.Series:
         found = automaton(held)
-        return pd.Series([[{"item_id": i, "start": s, "end": e, "score": c} for i, s, e, c in passages(t, found, least)] if t else [] for t in text], dtype="object")
+        return pd.Series([[dict(zip(("item_id", "start", "end", "span", "edits"), x)) for x in passages(t, found, least)] if t else [] for t in text], dtype="object")
 
     return texts.select("id", F.explode(scan("text")).alias("x")).select("id", "x.*")

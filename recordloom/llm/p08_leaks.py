@@ -21,7 +21,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 def p8_items(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and longest passage by leaked item."""
     found = _leaks(spark, folder)
-    return found.groupBy("item_id").agg(F.countDistinct("id").alias("n_docs"), F.max("score").alias("longest"))
+    return found.groupBy("item_id").agg(F.countDistinct("id").alias("n_docs"), F.max("span").alias("longest"))
 
 
 QUERIES = {"p8_found": p8_found, "p8_items": p8_items}
