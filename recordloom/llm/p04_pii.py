@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.pii import personal_spans, redacted
+from recordloom.llm.pii import personal_spans, personal_types, redacted
 from recordloom.sources.tables import table
 
 # The texts to look through.
@@ -27,8 +27,7 @@ def _names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    spans = personal_spans(_texts(spark, folder), _names(spark, folder))
-    return spans.select("table_name", "row_id", "field_name", "pii_type").distinct()
+    return personal_types(_texts(spark, folder), _names(spark, folder))
 
 
 def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:

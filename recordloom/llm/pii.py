@@ -1,25 +1,29 @@
 r"""Personal data inside free text, found by bootstrapping.
 
-1. Candidates: one pass over the texts lists e-mail addresses, street addresses, numbers with their shape, and runs of words that
-   may be names, each with the words around it (its patterns).
-2. Seeds: numbers with an international or trunk prefix are phones, numbers beside the name of a paper are identity numbers, names
-   with a title or with one of the frequent given names of the people on record are names.
+1. Candidates: one pass over the distinct texts lists e-mail addresses, street addresses, numbers with their shape, and runs of words
+   that may be names, each with the words around it (its patterns).
+2. Seeds: numbers with an international or trunk prefix are phones, numbers beside the name of a paper are identity
+   numbers, names with a title or with one of the frequent given names of the people on record are names, a house number with a
+   kind of street is an address.
 3. Spark scores the graph of patterns and instances in rounds: a pattern is as good as the share of its instances that count, an
-   instance (the shape of a number, the words of a name) as good as the patterns it occurs with. Numbers without a seed and names
-   never seen before are accepted where their pattern or instance is good enough.
+   instance (the shape of a number, the words of a name) as good as the patterns it occurs with. What the patterns
+   and the shape tell of a number goes before its own look. Numbers without a seed, names never seen and addresses without a kind
+   of street are accepted where their pattern or instance is good enough.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.entities import clean_name
-from recordloom.operators.skew import bounded_rows
+from recordloom.operators.skew import bounded_rows, salted_join
 from recordloom.session import checkpointed
 
 # Titles; names of papers and numbers of persons; kinds of streets; words that begin a place of work.
@@ -33,7 +37,13 @@ STREETS = (
     r"street|st|road|rd|lane|ln|avenue|ave|av|crescent|cres|terrace|terr?|close|drive|dr|way|court|ct|place|pl|square|sq|gardens?|gdns|grove|hill|row|walk|parade|mews|quay|boulevard|blvd|"
     r"highway|hwy|nagar|marg|rise|view|park|wharf|alley|circus|green|bank|yard"
 )
+# Words of which one stands in every address that the patterns below find; ends of German street names.
+STREET_WORDS = set(re.sub(r"\w\?", "", STREETS).split("|")) | set(
+    "garden terr ter rue bd chemin impasse allée allee quai cours route passage ruelle sentier calle avenida avda plaza paseo camino carrera ronda travesía callejón c pza glorieta cuesta rambla am an auf zum zur unter hinter".split()
+)
+STREET_ENDS = ("straße", "strasse", "str", "weg", "gasse", "allee", "platz", "damm", "ufer", "steig", "pfad", "chaussee", "stieg", "markt", "hof", "graben", "wall")
 CLINIC = r"clinic|hospital|centre|center|practice|surgery|unit|polyclinic|institute|ward|pharmacy|department|laboratory|lab"
+CLINIC_WORDS, TITLE_WORDS = set(CLINIC.split("|")), set(re.sub(r"\w\?|[(?:)]", "", TITLES).split("|")) | {"señora"}
 EMAIL = re.compile(
     r"[\w.+\-]{1,64}\s?(?:@|\(at\)|\[at\]|\{at\}|<at>|＠)\s?[\w\-]+(?:(?:\.|\s?(?:\(dot\)|\[dot\]|\{dot\}|<dot>)\s?)[a-z\-]{2,24}){1,4}"
     r"|[\w.+\-]{2,64}(?:\s+dot\s+[\w+\-]{1,64}){0,3}\s+(?:at|\[at\]|\(at\)|@)\s+[\w\-]+\s+(?:dot|\[dot\]|\(dot\)|\.)\s+[a-z]{2,12}",
@@ -48,10 +58,10 @@ ADDRESS = [
     re.compile(r"\b\d{1,4}(?:\s?(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|bd|place|chemin|impasse|allée|allee|quai|cours|route|passage|square|ruelle|sentier)\s+(?:(?:de|du|des|la|le|les|l['’]|d['’])\s*)*[\wÀ-ÿ'’\-]+(?-i:\s[A-ZÀ-Þ][\wÀ-ÿ'’\-]+)?", re.I),
     re.compile(r"\b(?:calle|avenida|avda\.?|av\.|plaza|paseo|camino|carrera|ronda|travesía|callejón|c/|pza\.?|glorieta|cuesta|rambla)\s+(?:(?:de|del|la|las|los|el)\s+)*[\wÀ-ÿ'’\-]+(?:\s+[\wÀ-ÿ'’\-]+){0,2}?,?\s*(?:n[.ºo°]*\s*)?\d{1,4}\b", re.I),
 ]
+HOUSE = re.compile(r"(?<![\w.,/\-])\d{1,4}(?:\s?[/\-]?\s?[A-Z]\b)?,?\s(?:[A-ZÀ-ÖØ-Þ][\w'’\-]{2,}\b\s?){1,3}(?<!\s)(?![\w/])")
 NUMBER = re.compile(r"(?<![\w.,/])[+(]?\d[\d\s().\-/]{0,40}(?:[A-Za-z]{1,2}\d[\d\-]{0,20})?\d(?:-?[A-Za-z]\b)?(?!\w|[.,]\d)|(?<![\w.,])[A-Za-z]{1,5}[-/ ]{0,2}\d[\d\s().\-/]{2,40}\d(?:-?[A-Za-z]\b)?(?!\w|[.,]\d)")
 _DIGIT = re.compile(r"\d")
 _SIX_DIGITS = re.compile(r"\d(?:\D{0,4}\d){5}")
-_AT = re.compile(r"@|＠|[\[({<]at[\])}>]|\sat\s.{1,40}\sdot\s", re.I)
 _MR = re.compile(TITLES, re.I)
 _GAP = re.compile(r"\.?[^\S\n]+")
 _COMMA = re.compile(r",\s*")
@@ -77,12 +87,19 @@ NO_STREET = PLAIN - {"end"} | set(
 )
 
 
-def _around(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
-    """The two tokens before and after a span, in lower case, numbers as '#'; '^' and '$' beyond the text."""
-    fold = lambda w: "#" if w.isdigit() else w.lower().rstrip(".") or w
-    left = [fold(w) for w in _TOKEN.findall(text[max(0, start - 40) : start])[-2:]]
-    right = [fold(w) for w in _TOKEN.findall(text[end : end + 40])[:2]]
-    return ["^"] * (2 - len(left)) + left, right + ["$"] * (2 - len(right))
+MONTHS = {m[:k] for m in "january february march april may june july august september october november december".split() for k in range(3, len(m) + 1)}
+
+
+def _around(text: str, start: int, end: int, far: int = 2) -> tuple[str, str]:
+    """The tokens before (``far``) and after a span (2), in lower case, numbers as '#'; '^' and '$' beyond the text."""
+    left = [_fold(w) for w in _TOKEN.findall(text[max(0, start - 12 * far) : start])[-far:]]
+    right = [_fold(w) for w in _TOKEN.findall(text[end : end + 24])[:2]]
+    return " ".join(["^"] * (far - len(left)) + left), " ".join(right + ["$"] * (2 - len(right)))
+
+
+@functools.lru_cache(maxsize=100_000)
+def _fold(w: str) -> str:
+    return "#" if w.isdigit() else w.lower().rstrip(".") or w
 
 
 def shape(number: str) -> str:
@@ -98,7 +115,7 @@ def _phone_like(number: str) -> bool:
 
 
 def candidates(text: str, given: frozenset[str]) -> list[tuple]:
-    """(kind, start, end, instance, l2, l1, r1, r2, seed) of a text; seed is the type that is certain, or ''.
+    """(kind, start, end, instance, left, right, seed) of a text; seed is the type that is certain, or ''.
 
     Kinds: 'E' e-mail, 'A' address, 'N' number, 'P' name. A name's instance is its longest word, a number's its shape.
     """
@@ -108,15 +125,17 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple]:
         return all(e <= a or s >= b for a, b in taken)
 
     def add(kind, s, e, instance, seed):
-        (l2, l1), (r1, r2) = _around(text, s, e)
-        out.append((kind, s, e, instance, l2, l1, r1, r2, seed))
+        out.append((kind, s, e, instance, *_around(text, s, e, 4 if kind == "N" else 2), seed))
 
-    if _AT.search(text):
+    words = [(*m.span(), m[0]) for m in _WORD.finditer(text)]
+    lows = [w[2].lower() for w in words]
+    met = set(lows)
+    if "@" in text or "＠" in text or "at" in met:
         for m in EMAIL.finditer(text):
             taken.append(m.span())
             add("E", *m.span(), "", "EMAIL")
     if _DIGIT.search(text):
-        for pattern in ADDRESS:
+        for pattern in ADDRESS if not met.isdisjoint(STREET_WORDS) or any(w.endswith(STREET_ENDS) for w in met) else ():
             for m in pattern.finditer(text):
                 s, e = m.span()
                 if free(s, e) and not (pattern is ADDRESS[0] and any(len(w) > 1 and w in NO_STREET for w in _WORD.findall(m[0].lower())[:-1])):
@@ -124,6 +143,10 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple]:
                         s -= len(house[0])
                     taken.append((s, e))
                     add("A", s, e, "", "ADDRESS")
+        for m in HOUSE.finditer(text):  # perhaps an address without a kind of street
+            s, e = m.span()
+            if free(s, e) and not any(w in NO_STREET or w in MONTHS for w in _WORD.findall(m[0].lower())):
+                add("A", s, e, "", "")
     for m in NUMBER.finditer(text) if _SIX_DIGITS.search(text) else ():
         s, e = m.span()
         piece = m[0]
@@ -140,24 +163,30 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple]:
         seed = "ID_NUMBER" if _PAPER.search(before) or _CHART.match(piece) else "PHONE" if _phone_like(piece) else ""
         taken.append((s, e))
         add("N", s, e, shape(piece), seed)
-    words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(text)]
     if taken:
         words = [w for w in words if free(w[0], w[1])]
+        lows = [w[2].lower() for w in words]
     is_given = lambda low: low in given or ("-" in low and any(p in given for p in low.split("-")))
-    k, n_words = 0, len(words)
-    while k < n_words:
+    n_words, done = len(words), 0
+    for k in [k for k, low in enumerate(lows) if words[k][2][0] != low[0] and low not in PLAIN or low in given or len(low) == 1 or "-" in low]:
+        if k < done:
+            continue
         s, e, w = words[k]
-        low = w.lower()
+        low = lows[k]
         upper = w[0].isupper()
         known = low in given or ("-" in low and is_given(low))
-        if not known and not upper and not (len(w) == 1 and text[e : e + 1] == "."):
-            k += 1
-            continue
+        if not known:
+            if not upper and not (len(w) == 1 and text[e : e + 1] == "."):
+                continue
+            after = words[k + 1][2] if k + 1 < n_words else "-"
+            if len(w) > 2 and not after[0].isupper() and len(after) > 1 and low not in TITLE_WORDS and "-" not in after and lows[k + 1 if k + 1 < n_words else k] not in given:
+                if low not in PLAIN and low not in CLINIC_WORDS:  # a word alone
+                    add("P", s, e, low, "")
+                continue
         titled = upper and len(w) < 9 and _MR.fullmatch(low) is not None and k + 1 < n_words and _GAP.fullmatch(text, e, words[k + 1][0]) is not None
         capital = upper and len(w) > 1 and low not in PLAIN
         initial = len(w) == 1 and text[e : e + 1] == "." and k + 1 < n_words and words[k + 1][0] - e <= 2 and len(words[k + 1][2]) > 3
         if not (titled or known or capital or initial):
-            k += 1
             continue
         j, parts, seed = k, [], known or titled
         if titled:
@@ -186,7 +215,6 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple]:
             parts.append(low2)
             j += 1
         if not parts:
-            k += 1
             continue
         end = words[j - 1][1]
         longest = max(parts, key=len)
@@ -196,7 +224,7 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple]:
                 add("P", s, end, longest, "NAME" if seed else "")
             elif seed and any(p in given for p in parts):
                 add("P", s, end, longest, "")
-        k = j
+        done = j
     return out
 
 
@@ -208,70 +236,114 @@ def frequent_given_names(names: DataFrame, share: float = 0.001) -> frozenset[st
     return frozenset(r.word for r in bounded_rows(often.select("word"), int(1 / share) + 1, "the frequent names"))
 
 
-def personal_spans(texts: DataFrame, names: DataFrame, rounds: int = 3, least: float = 0.5) -> DataFrame:
-    """(table_name, row_id, field_name, start, end, pii_type) of the personal data in ``texts``.
+FOUND = pa.schema([
+    ("t1", pa.int64()), ("t2", pa.int64()), ("uses", pa.int64()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("instance", pa.string()), ("left", pa.string()), ("right", pa.string()), ("seed", pa.string()),
+])
+TYPES = {"PHONE": "phone", "ID_NUMBER": "paper", "NAME": "person", "ADDRESS": "address"}
+LEAST_SHAPE = 0.9  # share of the numbers of one shape that must count before the shape alone tells what a number is
 
-    ``texts``: table_name, row_id, field_name, text; ``names``: name, the people on record, whose frequent words are the seeds for
-    names. Null and empty texts hold nothing; repeated rows count once.
-    """
-    given = frequent_given_names(names)
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict = {}  # texts repeat
+def text_keys(texts: DataFrame) -> DataFrame:
+    """``texts`` with t1 and t2, hashes of 96 bits that stand for the text; null and empty texts are left out."""
+    return texts.where("text IS NOT NULL AND text <> ''").withColumns({"t1": F.xxhash64("text"), "t2": F.crc32(F.encode("text", "UTF-8"))})
+
+
+def candidate_spans(texts: DataFrame, given: frozenset[str]) -> DataFrame:
+    """The candidates of each distinct text (see ``candidates``) with t1 and t2 of the text and the number of its rows."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             out = []
-            for name, row, field, text in zip(rows["table_name"], rows["row_id"], rows["field_name"], rows["text"]):
-                if text not in memo:
-                    if len(memo) >= 50_000:
-                        memo.clear()
-                    memo[text] = candidates(text, given)
-                out += [(name, row, field, *c) for c in memo[text]]
-            yield pd.DataFrame(out, columns=["table_name", "row_id", "field_name", "kind", "start", "end", "instance", "l2", "l1", "r1", "r2", "seed"])
-
-    once = texts.select("table_name", "row_id", "field_name", "text").where("text IS NOT NULL AND text <> ''")
-    # equal texts come to the same few tasks, which look through them once
-    once = once.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(4))).repartition("text", "_salt").distinct()
-    schema = "table_name string, row_id bigint, field_name string, kind string, start int, end int, instance string, l2 string, l1 string, r1 string, r2 string, seed string"
-    spans = checkpointed(once.mapInPandas(find, schema))
-    sure = spans.where("seed <> ''").select("table_name", "row_id", "field_name", "start", "end", F.col("seed").alias("pii_type"))
-
-    # the graph: distinct (kind, instance, left pattern, right pattern) with the number of occurrences and of seeds by type
-    open_kinds = spans.where("kind IN ('N', 'P')")
-    types = {"PHONE": "phone", "ID_NUMBER": "paper", "NAME": "person"}
-    edges = open_kinds.groupBy("kind", "instance", F.concat_ws(" ", "l2", "l1").alias("left"), F.concat_ws(" ", "r1", "r2").alias("right"), F.concat_ws(" ", "l1", F.lit("|"), "r1").alias("both")).agg(
-        F.count("*").alias("n"), *(F.sum((F.col("seed") == t).cast("double")).alias(f"seed_{c}") for t, c in types.items())
+            for text, *keys in zip(*(rows.column(c).to_pylist() for c in ("text", "t1", "t2", "uses"))):
+                out += [(*keys, *c) for c in candidates(text, given)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [()] * len(FOUND), FOUND)], schema=FOUND)
+
+    unique = text_keys(texts.where("text IS NOT NULL AND text <> ''").groupBy("text").agg(F.count("*").alias("uses")))
+    return unique.select("text", "t1", "t2", "uses").mapInArrow(find, "t1 bigint, t2 bigint, uses bigint, kind string, start int, end int, instance string, left string, right string, seed string")
+
+
+def _edge() -> Column:
+    return F.xxhash64("kind", "instance", "left", "right")
+
+
+def _shares(df: DataFrame, keys: list[str], names: dict[str, str]) -> DataFrame:
+    """For each key the number of occurrences and the share of them that count, by type."""
+    sums = df.groupBy(*keys).agg(F.sum("n").alias("all"), *(F.sum(f"mass_{c}").alias(f"m_{c}") for c in names.values()))
+    return sums.select(*keys, "all", *(((F.col(f"m_{c}") - 0.5) / F.col("all")).alias(f"p_{c}") for c in names.values()))
+
+
+def believed_edges(edges: DataFrame, rounds: int, least: float) -> DataFrame:
+    """(edge, p_phone, p_paper, p_person, p_address): the edges that count for some type after ``rounds`` rounds.
+
+    ``edges``: edge, kind, instance, left, right, n, seed_*: occurrences of an instance between two patterns. A
+    number or an address is judged by what stands before it, a name also by what stands after it; marks alone tell nothing on
+    names. The words of a name, and the shape of a number where nearly all numbers of the shape count, speak too; a word that
+    mostly stands where no names stand is no name.
+    """
+    near = F.substring_index("left", " ", -2)
+    # what stands before the name of a paper, of one word or two, is a pattern too: it leads to names of papers not yet known
+    frames = F.array(F.concat(F.lit("F "), F.substring_index("left", " ", 2)), F.concat(F.lit("F "), F.substring_index(F.substring_index("left", " ", 3), " ", -2)))
+    before = F.concat(
+        F.array(F.concat(F.lit("L "), near), F.concat(F.lit("M "), F.substring_index("left", " ", -1))),
+        F.when(F.col("kind") == "N", F.filter(F.array_distinct(frames), lambda x: F.substring(x, 3, 1000).rlike(r"\p{L}{2}"))).otherwise(F.array().cast("array<string>")),
     )
-    edges = checkpointed(edges)
-    score = {c: F.col(f"seed_{c}") for c in types.values()}
-    believed = edges.select("*", *(s.alias(f"mass_{c}") for c, s in score.items()))
-    # what stands before tells for numbers; for names also what stands after; marks alone tell nothing on names
-    last = F.substring_index("left", " ", -1)
-    by_number = F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("M "), last))
-    by_name = F.filter(F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("R "), "right"), F.concat(F.lit("B "), "both")), lambda x: F.substring(x, 3, 1000).rlike(r"\p{L}{2}"))
-    pattern = F.explode(F.when(F.col("kind") == "N", by_number).otherwise(by_name)).alias("pattern")
+    both = F.concat_ws(" ", F.substring_index("left", " ", -1), F.lit("|"), F.substring_index("right", " ", 1))
+    about = F.filter(F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("R "), "right"), F.concat(F.lit("B "), both)), lambda x: F.substring(x, 3, 1000).rlike(r"\p{L}{2}"))
+    patterns = F.when(F.col("kind") == "P", about).otherwise(before)
+    links = checkpointed(edges.select("edge", F.explode(F.transform(patterns, lambda x: F.xxhash64("kind", x))).alias("pattern")))
+    columns = [f"p_{c}" for c in TYPES.values()]
+    counts = lambda df, least: df.where(functools.reduce(Column.__or__, (F.col(c) >= least for c in columns)))
+    rest = F.col("n") - sum((F.col(f"seed_{c}") for c in TYPES.values()), F.lit(0))
+    believed = edges.select("edge", *(F.lit(0.0).alias(c) for c in columns)).limit(0)
     for _ in range(rounds):
-        patterns = believed.select("kind", "n", *(f"mass_{c}" for c in types.values()), pattern)
-        good = patterns.groupBy("kind", "pattern").agg(F.sum("n").alias("n_all"), *(F.sum(f"mass_{c}").alias(f"m_{c}") for c in types.values()))
-        good = good.where("n_all >= 4").select("kind", "pattern", *(((F.col(f"m_{c}") - 0.5) / F.col("n_all")).alias(f"p_{c}") for c in types.values()))
-        shapes = believed.groupBy("kind", "instance").agg(F.sum("n").alias("n_all"), *(F.sum(f"mass_{c}").alias(f"m_{c}") for c in types.values()))
-        shapes = shapes.select("kind", "instance", F.col("n_all").alias("i_all"), *(((F.col(f"m_{c}") - 0.5) / F.col("n_all")).alias(f"i_{c}") for c in types.values()))
-        keyed = edges.withColumn("edge", F.xxhash64("kind", "instance", "left", "right", "both"))
-        met = keyed.select("edge", "kind", pattern).join(good, ["kind", "pattern"])
-        best = met.groupBy("edge").agg(*(F.max(f"p_{c}").alias(f"p_{c}") for c in types.values()))
-        near = keyed.join(best, "edge", "left").join(shapes, ["kind", "instance"], "left")
-        # a number is judged by its pattern, a name also by its words elsewhere
-        is_name, zero = F.col("kind") == "P", F.lit(0.0)
-        ordinary = is_name & (F.col("i_all") >= 5) & (F.col("i_person") < 0.2)  # a word that mostly stands where no names stand
-        belief = {c: F.when(ordinary, zero).otherwise(F.greatest(F.coalesce(f"p_{c}", zero), F.when(is_name, F.coalesce(f"i_{c}", zero)).otherwise(zero), zero)) for c in types.values()}
-        rest = F.col("n") - F.col("seed_phone") - F.col("seed_paper") - F.col("seed_person")
-        believed = checkpointed(near.select(
-            *edges.columns, *(b.alias(f"belief_{c}") for c, b in belief.items()), *((F.col(f"seed_{c}") + rest * F.when(b >= least, b).otherwise(0.0)).alias(f"mass_{c}") for c, b in belief.items())
+        massed = checkpointed(edges.join(believed, "edge", "left").select(
+            "edge", "kind", "instance", "n", *((F.col(f"seed_{c}") + rest * F.when(F.col(f"p_{c}") >= least, F.col(f"p_{c}")).otherwise(0.0)).alias(f"mass_{c}") for c in TYPES.values())
         ))
-    accepted = believed.select("kind", "instance", "left", "right", "both", F.sort_array(F.array(*(F.struct(F.col(f"belief_{c}").alias("p"), F.lit(t).alias("t")) for t, c in types.items())), asc=False)[0].alias("b")).where(F.col("b.p") >= least)
-    keys = ["kind", "instance", "left", "right", "both"]
-    unsure = open_kinds.where("seed = ''").select("*", F.concat_ws(" ", "l2", "l1").alias("left"), F.concat_ws(" ", "r1", "r2").alias("right"), F.concat_ws(" ", "l1", F.lit("|"), "r1").alias("both"))
-    found = unsure.join(accepted, keys).select("table_name", "row_id", "field_name", "start", "end", F.col("b.t").alias("pii_type"))
-    return sure.unionByName(found)
+        # only patterns and instances that reach the threshold can lift an edge over it, and these are few
+        good = counts(_shares(links.join(massed, "edge"), ["pattern"], TYPES).where("all >= 4"), least).drop("all")
+        shapes = _shares(massed, ["kind", "instance"], TYPES)
+        is_name = F.col("kind") == "P"
+        telling = counts(shapes.where(is_name), least).unionByName(counts(shapes.where((F.col("kind") == "N") & (F.col("all") >= 20)), LEAST_SHAPE)).drop("all")
+        by_pattern = links.join(good, "pattern").select("edge", *columns)
+        by_shape = massed.select("edge", "kind", "instance").join(telling, ["kind", "instance"]).select("edge", *columns)
+        raised = counts(by_pattern.unionByName(by_shape).groupBy("edge").agg(*(F.max(c).alias(c) for c in columns)), least)
+        ordinary = shapes.where(is_name & (F.col("all") >= 5) & (F.col("p_person") < 0.2)).select("kind", "instance")
+        named = raised.join(massed.select("edge", "kind", "instance"), "edge")
+        believed = checkpointed(named.join(ordinary, ["kind", "instance"], "left_anti").select("edge", *columns))
+    return believed
+
+
+def text_spans(texts: DataFrame, names: DataFrame, rounds: int = 3, least: float = 0.5) -> DataFrame:
+    """(t1, t2, start, end, pii_type) of the personal data in the distinct texts of ``texts`` (see ``text_keys``)."""
+    spans = checkpointed(candidate_spans(texts, frequent_given_names(names)))
+    seeds = [F.sum(F.when(F.col("seed") == t, F.col("uses")).otherwise(0).cast("double")).alias(f"seed_{c}") for t, c in TYPES.items()]
+    edges = spans.where("kind <> 'E'").groupBy("kind", "instance", "left", "right").agg(F.sum("uses").alias("n"), *seeds)
+    believed = believed_edges(checkpointed(edges.withColumn("edge", _edge())), rounds, least)
+    best = F.array_max(F.array(*(F.struct(F.col(f"p_{c}").alias("p"), F.lit(t).alias("t")) for t, c in TYPES.items())))
+    judged = spans.where("seed = '' OR kind = 'N'").withColumn("edge", _edge()).join(believed.select("edge", best["t"].alias("learned")), "edge", "left")
+    # what the patterns tell of a number goes before its own look
+    kind = F.coalesce("learned", F.when(F.col("seed") != "", F.col("seed")))
+    found = judged.select("t1", "t2", "start", "end", kind.alias("pii_type")).where("pii_type IS NOT NULL")
+    return found.unionByName(spans.where("seed <> '' AND kind <> 'N'").select("t1", "t2", "start", "end", F.col("seed").alias("pii_type")))
+
+
+def personal_spans(texts: DataFrame, names: DataFrame, rounds: int = 3, least: float = 0.5) -> DataFrame:
+    """(table_name, row_id, field_name, start, end, pii_type) of the personal data in ``texts``.
+
+    ``texts``: table_name, row_id, field_name, text; ``names``: name, the people on record, whose frequent words are the seeds for
+    names. Null and empty texts hold nothing; repeated rows come out once; copies of a text are looked through once.
+    """
+    by_text = text_spans(texts, names, rounds, least).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end", "pii_type")).alias("x"))
+    keyed = text_keys(texts).select("table_name", "row_id", "field_name", "t1", "t2").distinct()
+    return salted_join(keyed, by_text, ["t1", "t2"], F.col("row_id"), salts=8).select("table_name", "row_id", "field_name", F.explode("x").alias("x")).select("table_name", "row_id", "field_name", "x.*")
+
+
+def personal_types(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(table_name, row_id, field_name, pii_type): the types of personal data in each row of ``texts``, once."""
+    by_text = text_spans(texts, names).groupBy("t1", "t2").agg(F.collect_set("pii_type").alias("x"))
+    keyed = text_keys(texts).select("table_name", "row_id", "field_name", "t1", "t2")
+    found = salted_join(keyed, by_text, ["t1", "t2"], F.col("row_id"), salts=8)
+    return found.select("table_name", "row_id", "field_name", F.explode("x").alias("pii_type")).distinct()
 
 
 def redacted(texts: DataFrame, spans: DataFrame) -> DataFrame:
@@ -286,7 +358,8 @@ def redacted(texts: DataFrame, spans: DataFrame) -> DataFrame:
                 continue
             pieces, at = [], 0
             for s in sorted(spots, key=lambda s: (s["start"], -s["end"])):
-                if s["start"] < at:
+                if s["start"] < at or (pieces and s["start"] == at):
+                    at = max(at, s["end"])
                     continue
                 pieces += [t[at : s["start"]], f"[{s['pii_type']}]"]
                 at = s["end"]
