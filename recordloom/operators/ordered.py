@@ -66,3 +66,14 @@ def with_position(df: DataFrame, key: str, order: Sequence[str], name: str) -> D
     carry = counts.select(key, CHUNK, F.sum("_n").over(before).alias("_handed")).where("_handed IS NOT NULL")
     inside = F.row_number().over(Window.partitionBy(key, CHUNK).orderBy(*order)).cast("bigint")
     return df.join(F.broadcast(carry), [key, CHUNK], "left").withColumn(name, inside + F.coalesce("_handed", F.lit(0))).drop("_handed")
+
+
+def with_total_before(df: DataFrame, key: str, order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the rows of the key before this one; 0 in its first row. Null values count as 0."""
+    held = df.withColumn("_value", F.coalesce(value, F.lit(0)))
+    counts = held.groupBy(key, CHUNK).agg(F.sum("_value").alias("_n"))
+    before = Window.partitionBy(key).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = counts.select(key, CHUNK, F.sum("_n").over(before).alias("_handed")).where("_handed IS NOT NULL")
+    inside = F.sum("_value").over(Window.partitionBy(key, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    summed = F.coalesce(inside, F.lit(0)) + F.coalesce("_handed", F.lit(0))
+    return held.join(F.broadcast(carry), [key, CHUNK], "left").withColumn(name, summed).drop("_value", "_handed")
