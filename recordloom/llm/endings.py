@@ -1,101 +1,196 @@
 r"""Texts that stop before their end.
 
-The self-join by prefix: the end of a text (its last words, the very last one perhaps cut) is a value; hashes of fixed-length
-prefixes meet the same words elsewhere. Where the other copies go on (with more letters of the last word, or with another word)
-and hardly ever stop there, the text was cut. Stops are ends of sentences and ends of other texts; a line break is none, as lines
-of a page may break anywhere. Copies of one text count once. All counts are over all texts; nothing is sampled.
+The self-join by prefix: the last sentence (or line) of a text is a value. All sentences of all texts, sorted, stand beside those
+that begin with it, so one pass over the sorted values counts, for each end, its longer copies and its equal copies elsewhere. An
+end with longer copies and hardly any equal ones was cut. Words and numbers are masked (digits as '#', terms of an open class as
+'<t>'), so that copies with other figures meet. Texts without sentences (dictations) have no such values; there the last word is
+held against longer words after the same word, by the same sorted pass, and the last words against the places where they stop
+elsewhere. All rules are shares, smoothed with the share of shorter contexts; all counts are over all texts.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.operators.skew import bounded_rows
-from recordloom.session import written
+from recordloom.operators.ordered import chunked, with_total_before
+from recordloom.operators.skew import bounded_rows, salted_join
+from recordloom.session import checkpointed, written
 
 # Marks that are put where a text was cut, damaged characters, and rests of character references.
-CUT_MARK = r"(?:\s*(?:\[\s*)?(?:…|\.{3,}|\[cut\]|\[truncated\]|\(truncated\)|<truncated>|\[continued\]|\(cont(?:\.|inued)?\)|\(more\)|\[more\]|(?<=[\p{L}\p{N}])[-‐])\s*\]?)+\s*$"
-DAMAGED = r"(?:�|&#?[a-zA-Z0-9]{0,6};?|[\x00-\x08\x0b-\x1f]|Ã.?|Â|â€?)\s*$"
-STOP = "."  # token of the end of a sentence
-
-
-def words(text: Column, lexicon: Column | None = None) -> Column:
-    r"""Tokens in lower case: words, numbers with each digit as '#', single marks; '.', '?' and '!' at ends of sentences are '.'."""
-    masked = F.regexp_replace(F.lower(text), "[0-9]", "#")
-    return F.transform(
-        F.regexp_extract_all(masked, F.lit(r"[\p{L}\p{M}]+(?:['’\-][\p{L}\p{M}]+)*|#+(?:[.,:/]#+)*|[^\s]"), F.lit(0)),
-        lambda w: F.when(w.isin("?", "!", "。", "؟"), F.lit(STOP)).otherwise(w),
-    )
+CUT_MARK = re.compile(r"(?:\s*(?:\[\s*)?(?:…|\.{3,}|\[cut\]|\[truncated\]|\(truncated\)|<truncated>|\[continued\]|\(cont(?:\.|inued)?\)|\(more\)|\[more\]|(?<=\w)[-‐])\s*\]?)+\s*$")
+DAMAGED = re.compile(r"(?:�|&#?[a-zA-Z0-9]{0,6};?|[\x00-\x08\x0b-\x1f]|Ã.?|Â|â€?)\s*$")
+TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*|#+(?:[.,:/]#+)*|\n|[^\s]")
+WRAPPED = re.compile(r"\n[ \t]*(?=[a-zß-ÿ])")  # a line break inside a sentence
+STOP, LINE, TERM, TERM_BEGUN, PAIR = "\x02", "\x03", "<t>", "<", "\x04"
+_MASK = {ord(c): "#" for c in "0123456789"} | {k: " " for k in range(32) if k not in (9, 10)}
+_LAST = "\U0010ffff"
+LONG = 12  # words from which a stretch without a stop counts as running text, whose places are counted by contexts
+CLOSED, NUMBER_END, IS_DAMAGED, MARKED = 1, 2, 4, 8
+PRIOR, WEIGHT = 0.02, 20.0  # share of places where a text may stop, and the weight of a shorter context in that of a longer one
+PARTS = pa.schema([
+    ("kind", pa.string()), ("source", pa.string()), ("v", pa.string()), ("n", pa.int64()), ("stops", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()),
+    ("other", pa.string()), ("pair", pa.string()), ("other_pair", pa.string()), ("g2", pa.int64()), ("g3", pa.int64()), ("g4", pa.int64()), ("flags", pa.int32()),
+])
+
+
+def stem(text: str) -> tuple[str, int]:
+    """The text without cut marks and damaged characters at its end, and the flags of these."""
+    text = text.rstrip()
+    head, tail = text[:-200], text[-200:]
+    whole = DAMAGED.sub("", tail)
+    bare = CUT_MARK.sub("", whole)
+    return head + bare, (IS_DAMAGED if whole != tail else 0) | (MARKED if bare != whole else 0)
+
+
+def segments(text: str, meaning: dict[str, str]) -> tuple[list[str], bool]:
+    """The sentences and lines of a text as masked words with single blanks, and whether the last one ends in a stop."""
+    flat = WRAPPED.sub(" ", text).lower().translate(_MASK)
+    found = " ".join([meaning.get(w, w) for w in TOKEN.findall(flat)])
+    return [s for s in (x.strip() for x in found.replace(LINE, STOP).split(STOP)) if s], found.endswith(STOP)
+
+
+def _gram(source: str, words: list[str]) -> int:
+    return xxhash.xxh64_intdigest(source + "\x1f" + " ".join(words)) - (1 << 63)
+
+
+def parts(texts: DataFrame, terms: list[str]) -> DataFrame:
+    """The parts of each text of ``texts`` (source, text, t1, t2), summed up within batches.
+
+    kind 'S': a sentence v that is complete, n times; or PAIR + word + PAIR + next word inside running text. 'G': a context of two,
+    three or four words (hash in g2), seen n times, of these ``stops`` at the end of a stretch. 'E': the end v of a text, ``other`` if
+    its last word may be a term begun, the pairs of its last words, its contexts, and flags.
+    """
+    known = frozenset(terms)
+    begun = frozenset(t[:k] for t in known for k in range(1, len(t)))
+    meaning = {t: TERM for t in known} | dict.fromkeys(".?!。؟", STOP) | {"\n": LINE}
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            grams: dict[int, list[int]] = {}
+            out = []
+            for source, text, t1, t2 in zip(*(batch.column(c).to_pylist() for c in ("source", "text", "t1", "t2"))):
+                bare, flags = stem(text)
+                found, closed = segments(bare, meaning)
+                if not found:
+                    continue
+                last = found[-1]
+                if closed:
+                    flags |= CLOSED | (NUMBER_END if last.rpartition(" ")[2].startswith("#") else 0)
+                for k, s in enumerate(found, 1):
+                    is_end = k == len(found)
+                    if not is_end or flags & (CLOSED | NUMBER_END) == CLOSED:
+                        seen[source, s] += 1
+                    if not is_end and s.count(" ") < LONG:
+                        continue
+                    words = ["^", "^", "^", *s.split(" ")]
+                    for j in range(4, len(words) + 1):
+                        if j < len(words) or not is_end:
+                            seen[source, PAIR + words[j - 2] + PAIR + words[j - 1]] += 1
+                        for size in (2, 3, 4):
+                            count = grams.setdefault(_gram(source, words[j - size : j]), [0, 0])
+                            count[0] += 1
+                            count[1] += j == len(words)
+                words = ["^", "^", "^", *last.split(" ")]
+                frag = words[-1] in begun and words[-1] not in known
+                pair = PAIR + words[-2] + PAIR
+                out.append(("E", source, last, 1, 0, t1, t2, last[: len(last) - len(words[-1])] + TERM_BEGUN if frag else None, pair + words[-1], pair + TERM_BEGUN if frag else None, *(_gram(source, words[-size:]) for size in (2, 3, 4)), flags))
+            out += [("S", source, v, n, *[None] * 10) for (source, v), n in seen.items()]
+            out += [("G", None, None, n, stops, None, None, None, None, None, g, None, None, None) for g, (n, stops) in grams.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [()] * len(PARTS), PARTS)], schema=PARTS)
+
+    schema = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'int' if f.type == pa.int32() else 'bigint'}" for f in PARTS)
+    return texts.mapInArrow(cut_up, schema)
+
+
+def copies(values: DataFrame, asked: DataFrame) -> DataFrame:
+    """(source, v, equal, longer, next_word) for each distinct (source, v) of ``asked``: how many of ``values`` (source, v, n) are
+    equal to v, strictly longer with v as their prefix, and longer by whole words.
+
+    The values are sorted once with probes before and behind each asked value; what stands between two probes begins with it. Runs
+    of equal or alike values are cut into chunks like any others.
+    """
+    probes = {"a": "", "b": "\x00", "c": " ", "d": "!", "e": _LAST}
+    rows = asked.select("source", "v").where("v IS NOT NULL").distinct()
+    asking = rows.select("source", F.col("v").alias("of"), F.explode(F.array(*(F.struct(F.lit(k).alias("probe"), F.concat("v", F.lit(x)).alias("v")) for k, x in probes.items()))).alias("x"))
+    both = values.groupBy("source", "v").agg(F.sum("n").alias("n")).select("source", "v", F.lit(1).alias("is_value"), "n", F.lit(None).cast("string").alias("of"), F.lit(None).cast("string").alias("probe"))
+    both = both.unionByName(asking.select("source", "x.v", F.lit(0).alias("is_value"), F.lit(0).cast("bigint").alias("n"), "of", "x.probe"))
+    order = ["v", "is_value", "of", "probe"]
+    placed = with_total_before(chunked(both, "source", order), "source", order, F.col("n"), "before").where("is_value = 0")
+    at = {k: F.max(F.when(F.col("probe") == k, F.col("before"))) for k in probes}
+    return placed.groupBy("source", F.col("of").alias("v")).agg((at["b"] - at["a"]).alias("equal"), (at["e"] - at["b"]).alias("longer"), (at["d"] - at["c"]).alias("next_word"))
 
 
-def stem(text: Column) -> Column:
-    """The text without cut marks and damaged characters at its end."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\s+$", ""), DAMAGED, ""), CUT_MARK, "")
+def text_keys(texts: DataFrame) -> DataFrame:
+    """``texts`` (source, text) with t1 and t2, hashes of 96 bits that stand for source and text; null texts are left out."""
+    source = F.coalesce("source", F.lit(""))
+    return texts.where("text IS NOT NULL").withColumn("source", source).withColumns({"t1": F.xxhash64("source", "text"), "t2": F.crc32(F.encode("text", "UTF-8"))})
 
 
-def cut_texts(texts: DataFrame, terms: DataFrame | None = None, least_rate: float = 0.016, enough: int = 40) -> DataFrame:
-    """(source, text) for each distinct pair whose text stops inside a word, a sentence or a line.
+def cut_keys(texts: DataFrame, terms: DataFrame | None = None, least_rate: float = 0.016, least_whole: float = 0.05) -> DataFrame:
+    """(t1, t2) of the distinct (source, text) whose text stops inside a word, a sentence or a line (see ``text_keys``).
 
     ``texts``: source, text; texts of one source are written alike, and their ends are held against each other. ``terms`` (column
-    term, at most 20,000) are names of an open class, as of medicines: they count as one word, so that a rare name has the company of the others.
-
-    A text that ends with the end of a sentence is whole, unless its last word is a number whose copies always go on, or stands after a bracket or dash where others are longer. Else its
-    four, three, then two last words, then three words over all sources, are looked up: the text is whole at the first of them
-    of whose other occurrences at least two and the share ``least_rate`` stop there, and cut at the first that occurs ``enough``
-    times and does not stop that often. Where none decides, the text is cut iff the two last words occur three times elsewhere and always go on. Before
-    all that, a text is cut whose three last words never stand inside a text, while its last word begins longer words that follow
-    the same word elsewhere: texts cut at one place may be many, and must not vouch for each other. Damaged characters at the end tell that a text was cut.
-    Null and empty texts, and texts without letters, are whole.
+    term, at most 20,000) are names of an open class, as of medicines: they count as one word.
+
+    Damaged characters at the end, and a mark without a stop, tell that a text was cut. A text that ends with a stop is whole, but
+    for a last number (it may have been cut at its decimal point). Of an open end, w equal copies that are complete, o other texts that end so (where the
+    last word is a whole word elsewhere: texts cut at one place may be many, and must not vouch for each other) and l longer
+    copies are counted. With w = 0 it is cut if its last word never stands complete after the word before while longer words do.
+    Else with longer copies it is cut iff (w + o + WEIGHT p) / (w + o + l + WEIGHT) < ``least_whole``, where p is the
+    share of the places after its last two, three and four words at which a text or sentence stops, each smoothed by the shorter.
+    Without any copy it is cut iff p < ``least_rate``.
+    Null and empty texts, and texts without letters, are whole. Copies of a text count once.
     """
-    distinct = texts.where("text IS NOT NULL").select(F.coalesce("source", F.lit("")).alias("source"), "text").distinct()
-    shaped = distinct.select(
-        "source", F.xxhash64("source", "text").alias("t"), "text", words(stem(F.col("text"))).alias("w"), F.col("text").rlike(DAMAGED).alias("damaged"), F.col("text").rlike(CUT_MARK).alias("marked")
-    )
-    if terms is not None:
-        known = [r.term for r in bounded_rows(terms.select(F.lower("term").alias("term")).where("term IS NOT NULL").distinct(), 20_000, "the list of terms")]
-        shaped = shaped.withColumn("v", F.transform("w", lambda x: F.when(x.isin(*known), F.lit("<term>")).otherwise(x)))
-    else:
-        shaped = shaped.withColumn("v", F.col("w"))
-    shaped = written(shaped.where(F.size("w") > 0))  # read in several places; the tokens are made once
-
-    n = F.size("v")
-    word = lambda array, i: F.when(i >= 1, F.try_element_at(array, F.greatest(i, F.lit(1)))).otherwise(F.lit("^"))
-    at = lambda i: word("v", i)
-    levels = {"s4": lambda i: F.xxhash64(F.lit(4), "source", at(i - 3), at(i - 2), at(i - 1), at(i)), "s3": lambda i: F.xxhash64(F.lit(3), "source", at(i - 2), at(i - 1), at(i)), "s2": lambda i: F.xxhash64(F.lit(2), "source", at(i - 1), at(i)), "all3": lambda i: F.xxhash64(F.lit(0), at(i - 2), at(i - 1), at(i))}  # noqa: E501
-
-    def spot(i: Column) -> Column:
-        return F.struct(F.array(*(level(i) for level in levels.values())).alias("grams"), at(i - 1).alias("c"), word("w", i).alias("d"), ((i == n) | (at(i + 1) == STOP)).alias("stops"), ((i < n) & ~((i == n - 1) & (at(n) == STOP))).alias("inside"))
-
-    spots = shaped.select(F.explode(F.transform(F.sequence(F.lit(1), n), spot)).alias("g")).select("g.*")
-    counts = spots.select("stops", "inside", F.explode("grams").alias("gram")).groupBy("gram").agg(
-        F.sum(F.col("stops").cast("bigint")).alias("stops"), F.sum(F.col("inside").cast("bigint")).alias("inside"), F.count("*").alias("all")
-    )
-    steps = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(at(i - 1).alias("c"), word("w", i).alias("d")))
-    begun = shaped.select(F.explode(steps).alias("g")).select("g.*").where(F.length("d") > 1).groupBy("c", "d").agg(F.count("*").alias("n"))
-    longer = begun.select("c", F.explode(F.transform(F.sequence(F.lit(1), F.length("d") - 1), lambda k: F.substring("d", F.lit(1), k))).alias("d"), "n").groupBy("c", "d").agg(F.sum("n").alias("longer"))
-
-    is_end = at(n) == STOP
-    number_end = is_end & at(n - 1).rlike("^#")
-    last = F.when(number_end, n - 1).otherwise(n)  # a number before the last full stop may have been cut inside: the words before the stop decide
-    ends = shaped.select("source", "t", "text", "damaged", "marked", is_end.alias("is_end"), number_end.alias("number_end"), spot(last).alias("g"))
-    open_ends = ends.where("NOT is_end OR number_end OR damaged")
-    asked = open_ends.select("t", F.posexplode("g.grams").alias("level", "gram"))
-    told = counts.join(asked.select("gram").distinct(), "gram")
-    own = F.when(F.col("number_end"), 0).otherwise(1)  # the text's own end is no evidence
-    per_text = asked.join(told, "gram").groupBy("t").agg(*(F.max(F.when(F.col("level") == k, F.struct("stops", "inside", "all"))).alias(name) for k, name in enumerate(levels)))
-    flat = open_ends.select("source", "t", "text", "damaged", "marked", "is_end", "number_end", "g.c", "g.d")
-    judged = flat.join(per_text, "t", "left").join(longer, ["c", "d"], "left")
-
-    verdict = F.lit(None).cast("boolean")
-    for name in reversed(levels):
-        stops, total = F.coalesce(F.col(f"{name}.stops") - own, F.lit(0)), F.coalesce(F.col(f"{name}.all") - own, F.lit(0))
-        often = stops >= least_rate * total
-        verdict = F.when((stops >= 2) & often, False).when((total >= enough) & ~often, True).otherwise(verdict)
-    stops2, total2 = F.coalesce(F.col("s2.stops") - own, F.lit(0)), F.coalesce(F.col("s2.all") - own, F.lit(0))
-    verdict = F.coalesce(verdict, (total2 >= 3) & (stops2 == 0))
-    fragment = (F.coalesce(F.col("s3.inside"), F.lit(0)) == 0) & (F.coalesce("longer", F.lit(0)) > 0)
-    verdict = F.when(fragment, True).otherwise(verdict)
-    never_stops = (F.coalesce(F.col("s3.all"), F.lit(0)) >= enough) & (F.col("s3.stops") <= 1)  # this text's stop is the only one
-    verdict = F.when(F.col("damaged"), True).when(F.col("marked") & ~F.col("is_end"), True).when(F.col("number_end"), never_stops | (fragment & F.col("c").isin("(", "[", "-", "/") & (F.col("s3.all") * 50 < F.col("longer")))).when(F.col("is_end"), False).otherwise(verdict)
-    return judged.where(verdict & F.col("text").rlike(r"\p{L}")).select("source", "text")
+    known = [] if terms is None else [r.term for r in bounded_rows(terms.select(F.lower("term").alias("term")).where("term IS NOT NULL").distinct(), 20_000, "the list of terms")]
+    distinct = text_keys(texts.select(F.coalesce("source", F.lit("")).alias("source"), "text").where("text IS NOT NULL AND text <> ''").distinct())
+    cut_up = written(parts(distinct.where(F.col("text").rlike(r"\p{L}")).select("source", "text", "t1", "t2"), known))
+    ends = cut_up.where("kind = 'E'")
+    is_open = F.col("flags").bitwiseAND(CLOSED) == 0
+    number_end = F.col("flags").bitwiseAND(NUMBER_END) != 0
+    judged = ends.where(is_open | number_end)
+    forms = judged.select("source", F.explode(F.array("v", "other", "pair", "other_pair")).alias("v"))
+    met = checkpointed(copies(cut_up.where("kind = 'S'"), forms).where("equal > 0 OR longer > 0"))
+
+    # copies of one end are judged once
+    by_end = judged.groupBy("source", "v", "other", "pair", "other_pair", "g2", "g3", "g4", (~is_open).alias("closed")).agg(F.count("*").alias("same"))
+    kinds = {"v": "end", "other": "other", "pair": "pair", "other_pair": "other_pair"}
+    for column, name in kinds.items():
+        one = met.select("source", F.col("v").alias(column), F.struct("equal", "longer", "next_word").alias(f"c_{name}"))
+        by_end = by_end.join(one, ["source", column], "left")
+    grams = cut_up.where("kind = 'G'").groupBy("g2").agg(F.sum("n").alias("n"), F.sum("stops").alias("stops"))
+    asked = by_end.where("NOT closed").select(F.explode(F.array("g2", "g3", "g4")).alias("g2")).distinct()
+    told = checkpointed(grams.join(asked, "g2"))
+    for g in ("g2", "g3", "g4"):
+        by_end = by_end.join(told.select(F.col("g2").alias(g), F.struct("n", "stops").alias(f"t_{g}")), g, "left")
+
+    zero = F.lit(0)
+    picked = F.when(F.col("c_end").isNull(), F.col("c_other")).otherwise(F.col("c_end"))
+    w, longer = F.coalesce(picked["equal"], zero), F.coalesce(picked["longer"], zero)
+    o = F.when((w > 0) | (F.coalesce(picked["next_word"], zero) > 0), F.col("same") - 1).otherwise(0)
+    p = F.lit(PRIOR)
+    for g in ("g2", "g3", "g4"):  # less this text's own end
+        n, stops = F.greatest(F.coalesce(F.col(f"t_{g}.n"), zero) - 1, zero), F.greatest(F.coalesce(F.col(f"t_{g}.stops"), zero) - 1, zero)
+        p = (stops + WEIGHT * p) / (n + WEIGHT)
+    pair = F.when(F.col("c_pair").isNull(), F.col("c_other_pair")).otherwise(F.col("c_pair"))
+    fragment = (F.coalesce(pair["equal"], zero) == 0) & (F.coalesce(pair["longer"], zero) > 0)
+    goes_on = F.when((w == 0) & fragment, True).when(longer > 0, (w + o + WEIGHT * p) / (w + o + longer + WEIGHT) < least_whole).otherwise((w == 0) & (p < least_rate))
+    goes_on = F.when(F.col("closed"), (longer > 0) & (w < least_whole * (w + longer))).otherwise(goes_on)
+    ends_cut = by_end.select("source", "v", "closed", goes_on.alias("goes_on")).where("goes_on").drop("goes_on")
+    marked = F.col("flags").bitwiseAND(IS_DAMAGED) != 0
+    marked = marked | ((F.col("flags").bitwiseAND(MARKED) != 0) & is_open)
+    by_copies = salted_join(judged.withColumn("closed", ~is_open), ends_cut, ["source", "v", "closed"], F.col("t1"), "left_semi")
+    return ends.where(marked).select("t1", "t2").unionByName(by_copies.select("t1", "t2")).distinct()
+
+
+def cut_texts(texts: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(source, text) for each distinct pair whose text was cut (see ``cut_keys``)."""
+    found = text_keys(texts.select("source", "text").distinct()).join(cut_keys(texts, terms), ["t1", "t2"], "left_semi")
+    return found.select("source", "text")
