@@ -74,7 +74,8 @@ def parts(texts: DataFrame, terms: list[str]) -> DataFrame:
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
-            grams: dict[int, list[int]] = {}
+            inside: dict[str, tuple] = {}  # by source: counts of runs of two, three and four words, and of those where a stretch stops
+            cut: Counter = Counter()
             out = []
             for source, text, t1, t2 in zip(*(batch.column(c).to_pylist() for c in ("source", "text", "t1", "t2"))):
                 bare, flags = stem(text)
@@ -84,26 +85,24 @@ def parts(texts: DataFrame, terms: list[str]) -> DataFrame:
                 last = found[-1]
                 if closed:
                     flags |= CLOSED | (NUMBER_END if last.rpartition(" ")[2].startswith("#") else 0)
+                complete = found if flags & (CLOSED | NUMBER_END) == CLOSED else found[:-1]
+                seen.update(zip([source] * len(complete), complete))
+                held = inside.setdefault(source, (Counter(), Counter(), Counter(), Counter()))
                 for k, s in enumerate(found, 1):
-                    is_end = k == len(found)
-                    if not is_end or flags & (CLOSED | NUMBER_END) == CLOSED:
-                        seen[source, s] += 1
-                    if not is_end and s.count(" ") < LONG:
+                    if k < len(found) and s.count(" ") < LONG:
                         continue
                     words = ["^", "^", "^", *s.split(" ")]
-                    for j in range(4, len(words) + 1):
-                        if j < len(words) or not is_end:
-                            seen[source, PAIR + words[j - 2] + PAIR + words[j - 1]] += 1
-                        for size in (2, 3, 4):
-                            count = grams.setdefault(_gram(source, words[j - size : j]), [0, 0])
-                            count[0] += 1
-                            count[1] += j == len(words)
-                words = ["^", "^", "^", *last.split(" ")]
+                    for size in (2, 3, 4):
+                        held[size - 2].update(zip(*(words[i:] for i in range(4 - size, 4))))
+                        held[3][tuple(words[-size:])] += 1
+                cut[source, words[-2], words[-1]] += 1
                 frag = words[-1] in begun and words[-1] not in known
                 pair = PAIR + words[-2] + PAIR
                 out.append(("E", source, last, 1, 0, t1, t2, last[: len(last) - len(words[-1])] + TERM_BEGUN if frag else None, pair + words[-1], pair + TERM_BEGUN if frag else None, *(_gram(source, words[-size:]) for size in (2, 3, 4)), flags))
             out += [("S", source, v, n, *[None] * 10) for (source, v), n in seen.items()]
-            out += [("G", None, None, n, stops, None, None, None, None, None, g, None, None, None) for g, (n, stops) in grams.items()]
+            for source, (*counts, stops) in inside.items():
+                out += [("S", source, PAIR + a + PAIR + b, n - cut[source, a, b], *[None] * 10) for (a, b), n in counts[0].items() if n > cut[source, a, b]]
+                out += [("G", None, None, n, stops.get(g, 0), None, None, None, None, None, _gram(source, g), None, None, None) for count in counts for g, n in count.items()]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [()] * len(PARTS), PARTS)], schema=PARTS)
 
     schema = ", ".join(f"{f.name} {'string' if f.type == pa.string() else 'int' if f.type == pa.int32() else 'bigint'}" for f in PARTS)

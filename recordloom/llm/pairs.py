@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.endings import cut_texts
+from recordloom.llm.endings import cut_keys, text_keys
 from recordloom.operators.skew import salted_join
 
 # Frequent words of languages.
@@ -59,22 +59,37 @@ _REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS), re.I | re.S)
 FRAME = set("you your asked ask asking question was is the q user said want to know wanted so repeat repeating frage sie fragten demande vous avez demandé pregunta usted preguntó regarding concerning re understood noted received thanks thank ok okay sure i see would like".split())
 
 
+# Words of which one stands in every refusal of the grammar.
+REFUSAL_WORDS = frozenset(
+    "i we guidelines instructions rules policy policies settings configuration outside beyond within part falls exceed exceeds leave leaving stay remain go me helper assistant model ai language program bot system tool software "
+    "sorry apologies regrettably unfortunately put direct address take leider leid ich wir frage außerhalb ausserhalb liegt mir muss je m dépasse désolé désolée hors mes puedo podemos posible permitido autorizado autorizada "
+    "debo soy temo prefiero siento fuera allá mis".split()
+)
+_LANGUAGES: dict[str, list[str]] = {}
+for _k, _ws in COMMON_WORDS.items():
+    for _w in _ws:
+        _LANGUAGES.setdefault(_w, []).append(_k)
+
+
+@lru_cache(maxsize=20_000)
 def tokens(text: str) -> list[str]:
     return re.findall(r"\w+", text.lower())
 
 
+@lru_cache(maxsize=20_000)
 def language(text: str) -> dict[str, float]:
     """A score for each language, from its common words and letters."""
-    found = tokens(text)
-    score = {k: float(sum(w in ws for w in found)) for k, ws in _SETS.items()}
-    for k, letters in OWN_LETTERS.items():
-        score[k] += 0.5 * sum(c in letters for c in text.lower())
+    score = dict.fromkeys(COMMON_WORDS, 0.0)
+    for w in tokens(text):
+        for k in _LANGUAGES.get(w, ()):
+            score[k] += 1.0
+    if not text.isascii():
+        low = text.lower()
+        for k, letters in OWN_LETTERS.items():
+            score[k] += 0.5 * sum(c in letters for c in low)
     return score
 
 
-_SETS = {k: frozenset(v) for k, v in COMMON_WORDS.items()}
-
-
 def other_language(question: str, answer: str) -> bool:
     q, a = language(question), language(answer)
     ours = max(q, key=lambda k: (q[k], k == "en"))
@@ -86,6 +101,8 @@ def other_language(question: str, answer: str) -> bool:
 
 def script(text: str) -> str:
     """Name of the script of most letters, by code ranges."""
+    if text.isascii():
+        return "latin" if any(map(str.isalpha, text)) else ""
     counts: dict[str, int] = {}
     for c in text:
         if c.isalpha():
@@ -96,44 +113,45 @@ def script(text: str) -> str:
 
 
 def tiles(a: list[str], b: list[str], least: int = 2) -> tuple[list[bool], list[bool]]:
-    """Greedy string tiling: which tokens of ``a`` and of ``b`` lie in common tiles, longest tiles first."""
+    """Greedy string tiling: which tokens of ``a`` and of ``b`` lie in common tiles, long tiles first.
+
+    The length searched for falls by halves: windows of that length of ``b`` are held by their tokens, each window of ``a`` takes
+    the first that is free and grows to the right. A token is marked once, so a level takes linear time whatever the texts repeat.
+    """
     in_a, in_b = [False] * len(a), [False] * len(b)
-    where: dict[str, list[int]] = {}
-    for j, w in enumerate(b):
-        where.setdefault(w, []).append(j)
+    size = 1 << (max(1, min(len(a), len(b))).bit_length() - 1)
     while True:
-        best, found = least - 1, []
-        for i in range(len(a)):
-            if in_a[i]:
+        size = max(size, least)
+        where: dict[tuple, list[int]] = {}
+        free = 0  # free tokens of b up to here
+        for j, taken in enumerate(in_b):
+            free = 0 if taken else free + 1
+            if free >= size:
+                where.setdefault(tuple(b[j - size + 1 : j + 1]), []).append(j - size + 1)
+        for starts in where.values():
+            starts.reverse()
+        i = 0
+        while i + size <= len(a):
+            starts = where.get(tuple(a[i : i + size])) if not in_a[i] and not in_a[i + size - 1] else None
+            while starts and (in_b[starts[-1]] or in_b[starts[-1] + size - 1]):
+                starts.pop()
+            if not starts:
+                i += 1
                 continue
-            for j in where.get(a[i], ()):
-                n = 0
-                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not in_a[i + n] and not in_b[j + n]:
-                    n += 1
-                if n > best:
-                    best, found = n, [(i, j)]
-                elif n == best and n >= least:
-                    found.append((i, j))
-        if not found:
+            j = starts.pop()
+            while i < len(a) and j < len(b) and a[i] == b[j] and not in_a[i] and not in_b[j]:
+                in_a[i] = in_b[j] = True
+                i, j = i + 1, j + 1
+        if size == least:
             return in_a, in_b
-        for i, j in found:
-            if not any(in_a[i : i + best]) and not any(in_b[j : j + best]):
-                for k in range(best):
-                    in_a[i + k] = in_b[j + k] = True
+        size //= 2
 
 
 def copied(question: str, answer: str) -> bool:
     """The answer only gives back the question: its tokens, frame words aside, lie in tiles of the question or beside all of it."""
     q, a = tokens(question), tokens(answer)
-    if not q or not a or len(a) > 3 * len(q) + 20:
+    if not q or not a or len(a) > 3 * len(q) + 20 or set(q).isdisjoint(a):
         return False
-    if len(q) > 400:  # long pairs: runs of three tokens in place of tiles, in linear time
-        runs = {tuple(q[i : i + 3]) for i in range(len(q) - 2)}
-        held = [False] * len(a)
-        for i in range(len(a) - 2):
-            if tuple(a[i : i + 3]) in runs:
-                held[i : i + 3] = [True] * 3
-        return sum(held) >= 0.6 * len(q) and sum(not h for h in held) <= 0.1 * len(a)
     in_a, in_b = tiles(a, q, 1 if len(q) < 4 else 2)
     rest = [w for w, t in zip(a, in_a) if not t and w not in FRAME]
     return sum(in_a) >= max(2, 0.6 * len(q)) and len(rest) <= 0.1 * len(a) + 0.5
@@ -162,6 +180,8 @@ def left_open(text: str) -> str:
             else:
                 stack.append("<" + m[2])
         elif piece == '"':
+            if m.start() and text[m.start() - 1].isdigit() and '"' not in stack:
+                continue  # inches
             stack.pop() if stack and stack[-1] == '"' else stack.append('"')
         elif piece in "([{«„" or (piece == "“" and "„" not in stack):
             stack.append(piece)
@@ -175,15 +195,15 @@ def left_open(text: str) -> str:
 
 
 def refuses(answer: str) -> bool:
-    return bool(_REFUSAL.search(answer))
+    return not REFUSAL_WORDS.isdisjoint(tokens(answer)) and bool(_REFUSAL.search(answer))
 
 
 def defective(pairs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(answer_id, defect) for the defective rows of ``pairs`` (answer_id, answer, question, answer_blank), at most one for each.
+    """(answer_id, defect, evidence) for the defective rows of ``pairs`` (answer_id, answer, question, answer_blank), at most one for each.
 
-    In this order: 'empty', 'refusal', 'copied_question', 'other_language' (also: another script), 'truncated' (a structure left
-    open, or the end of the answer goes on in other answers, see ``endings.cut_texts``). A null question has no language and
-    nothing to copy.
+    In this order: 'empty', 'refusal', 'copied_question', 'other_language' (also: another script), 'truncated' (``evidence``: 'open
+    structure' where the pushdown parse of the whole answer leaves something open, 'end' where the end of the answer goes on in other answers, see
+    ``endings.cut_keys``). A null question has no language and nothing to copy.
     """
 
     @F.pandas_udf("string")
@@ -196,14 +216,13 @@ def defective(pairs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
                 return "copied_question"
             if q and (other_language(q, a) or (script(q) and script(a) and script(q) != script(a))):
                 return "other_language"
-            if not a.rstrip().endswith((".", "!", "?")) and left_open(a):
-                return "truncated"
-            return None
+            return "truncated" if left_open(a) else None
 
         return pd.Series([one(q, a) for q, a in zip(question, answer)], dtype="object")
 
-    said = pairs.where("NOT answer_blank").withColumn("defect", judge("question", "answer"))
-    cut = cut_texts(said.select(F.lit("answers").alias("source"), F.col("answer").alias("text")), terms).select(F.col("text").alias("answer")).withColumn("cut", F.lit(True))
-    judged = salted_join(said.select("answer_id", "answer", "defect"), cut, ["answer"], F.col("answer_id"), "left")
-    found = judged.select("answer_id", F.coalesce("defect", F.when(F.col("cut"), F.lit("truncated"))).alias("defect")).where("defect IS NOT NULL")
-    return found.unionByName(pairs.where("answer_blank").select("answer_id", F.lit("empty").alias("defect")))
+    said = text_keys(pairs.where("NOT answer_blank").select("answer_id", "question", F.lit("answers").alias("source"), F.col("answer").alias("text")))
+    cut = cut_keys(said.select("source", "text"), terms).withColumn("cut", F.lit(True))
+    judged = salted_join(said.select("answer_id", "t1", "t2", judge("question", "text").alias("defect")), cut, ["t1", "t2"], F.col("answer_id"), "left")
+    evidence = F.when(F.col("defect") == "truncated", "open structure").when(F.col("defect").isNull(), "end")
+    found = judged.where("defect IS NOT NULL OR cut").select("answer_id", F.coalesce("defect", F.lit("truncated")).alias("defect"), evidence.alias("evidence"))
+    return found.unionByName(pairs.where("answer_blank").select("answer_id", F.lit("empty").alias("defect"), F.lit(None).cast("string").alias("evidence")))
