@@ -26,10 +26,10 @@ from recordloom.session import checkpointed, written
 # Marks that are put where a text was cut, damaged characters, and rests of character references.
 CUT_MARK = re.compile(r"(?:\s*(?:\[\s*)?(?:…|\.{3,}|\[cut\]|\[truncated\]|\(truncated\)|<truncated>|\[continued\]|\(cont(?:\.|inued)?\)|\(more\)|\[more\]|(?<=\w)[-‐])\s*\]?)+\s*$")
 DAMAGED = re.compile(r"(?:�|&#?[a-zA-Z0-9]{0,6};?|[\x00-\x08\x0b-\x1f]|Ã.?|Â|â€?)\s*$")
-TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*|#+(?:[.,:/]#+)*|\n|[^\s]")
+TOKEN = re.compile(r"\w+(?:['’\-]\w+)*|#+(?:[.,:/]#+)*|\n|[^\s]")
 WRAPPED = re.compile(r"\n[ \t]*(?=[a-zß-ÿ])")  # a line break inside a sentence
 STOP, LINE, TERM, TERM_BEGUN, PAIR = "\x02", "\x03", "<t>", "<", "\x04"
-_MASK = {ord(c): "#" for c in "0123456789"} | {k: " " for k in range(32) if k not in (9, 10)}
+_MASK = bytes(35 if 48 <= k < 58 else 32 if k < 32 and k not in (9, 10) else k for k in range(256))  # digits and control characters
 _LAST = "\U0010ffff"
 LONG = 12  # words from which a stretch without a stop counts as running text, whose places are counted by contexts
 CLOSED, NUMBER_END, IS_DAMAGED, MARKED = 1, 2, 4, 8
@@ -43,15 +43,17 @@ PARTS = pa.schema([
 def stem(text: str) -> tuple[str, int]:
     """The text without cut marks and damaged characters at its end, and the flags of these."""
     text = text.rstrip()
-    head, tail = text[:-200], text[-200:]
-    whole = DAMAGED.sub("", tail)
-    bare = CUT_MARK.sub("", whole)
-    return head + bare, (IS_DAMAGED if whole != tail else 0) | (MARKED if bare != whole else 0)
+    whole = text[:-16] + DAMAGED.sub("", text[-16:])
+    flags = IS_DAMAGED if whole != text else 0
+    if whole.endswith(("…", "...", "]", ")", ">", "-", "‐", " ")):
+        bare = whole[:-200] + CUT_MARK.sub("", whole[-200:])
+        return bare, flags | (MARKED if bare != whole else 0)
+    return whole, flags
 
 
 def segments(text: str, meaning: dict[str, str]) -> tuple[list[str], bool]:
     """The sentences and lines of a text as masked words with single blanks, and whether the last one ends in a stop."""
-    flat = WRAPPED.sub(" ", text).lower().translate(_MASK)
+    flat = WRAPPED.sub(" ", text).lower().encode("utf-8", "replace").translate(_MASK).decode("utf-8")
     found = " ".join([meaning.get(w, w) for w in TOKEN.findall(flat)])
     return [s for s in (x.strip() for x in found.replace(LINE, STOP).split(STOP)) if s], found.endswith(STOP)
 
