@@ -1,9 +1,9 @@
 """Variants of names that refer to one entity.
 
 Names become vectors of character trigrams weighted by their rarity. The sparse cosine join runs over (context, trigram), where a
-context is a second field that the two rows share (birth date, phone), or over record numbers that differ by at most one slip; only
-pairs that share a context can be linked, so no pair of merely similar names is ever built. Pairs are scored on all fields and
-grouped by average-linkage clustering, carried out as rounds of joins that merge all pairs of mutually nearest clusters.
+context is a second field that the two rows share: birth date, phone, or record number but for one slip. Every pair above
+the threshold is kept, so there is no top n to lose one, and hot keys are split. Pairs are scored on their cosine and all fields and grouped by average-linkage clustering, carried out as rounds of joins
+that merge all pairs of mutually nearest clusters.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from pyspark.sql.types import DoubleType
 from recordloom.llm.names import ALIKE, _strip_accents, weighted_distance
 from recordloom.session import checkpointed
 
-#: Contexts shared by more rows than this are joined on the whole name instead of its trigrams: they may be placeholders.
-COMMON_CONTEXT = 200
+#: Rows of one key of the self-join that one task may hold on one side; larger keys are split, and no pair is lost.
+SPLIT = 500
+LEAST_COSINE = 0.2
 # Titles and suffixes that are no part of a name.
 TITLES = "mr|mrs|ms|miss|dr|prof|smt|shri|sri|sr|sra|mme|mlle|m lle|herr|frau|kumari|master|baby|md|phd|jr|senior|junior|mx|sir|madam"
 # Short forms of given names.
@@ -174,13 +175,15 @@ def date_likeness(a, b) -> str:
     return "other"
 
 
-def pair_score(name_a, name_b, birth_a, birth_b, mrn_a, mrn_b, phone_a, phone_b, sex_a, sex_b) -> float:
-    """Evidence that two rows are one person, as a number in 0..1; 0.4 and more speaks for it."""
+def pair_score(name_a, name_b, birth_a, birth_b, mrn_a, mrn_b, phone_a, phone_b, sex_a, sex_b, cosine=1.0) -> float:
+    """Evidence that two rows are one person, as a number in 0..1; 0.4 and more speaks for it.
+
+    Words of names are held against each other; the cosine of the whole names weighs in where that leaves doubt."""
     likeness, initials = name_likeness(name_a or "", name_b or "")
     if likeness >= 0.78:
         points = 3.0 if not initials else 1.7
     elif likeness >= 0.6:
-        points = 0.8
+        points = 0.8 + 2.0 * (cosine - 0.5)
     else:
         points = -4.0
     born = date_likeness(birth_a, birth_b)
@@ -194,38 +197,54 @@ def pair_score(name_a, name_b, birth_a, birth_b, mrn_a, mrn_b, phone_a, phone_b,
     return max(0.0, min(1.0, points / 8.0))
 
 
-def candidate_pairs(people: DataFrame) -> DataFrame:
-    """(a, b, cosine) with a < b: rows that share a context, or whose record numbers differ by at most one slip.
-
-    ``people``: id, name (clean), folded, mrn, phone, birth. For pairs by context ``cosine`` is the exact cosine of their trigram
-    vectors, at least 0.25 (null for pairs by record number).
-    """
+def name_vectors(people: DataFrame) -> DataFrame:
+    """(id, gram, v): the trigrams of each folded name with their weights, each name's vector of length one."""
     padded = F.transform(F.filter(F.split("folded", " "), lambda w: w != ""), lambda w: F.concat(F.lit("^"), w, F.lit("$")))
     grams = F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substring(w, i, F.lit(3))))))
-    vectors = people.select("id", "folded", "phone", "birth", F.explode(grams).alias("gram"))
+    each = people.select("id", F.explode(grams).alias("gram"))
     n_rows = people.agg(F.count("*").alias("n_rows"))  # one row
-    weight = vectors.groupBy("gram").agg(F.count("*").alias("df")).join(F.broadcast(n_rows)).select("gram", (F.log(F.col("n_rows") / F.col("df")) + 1).alias("w"))
-    norms = vectors.join(weight, "gram").groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-
-    contexts = people.select("id", "folded", F.explode(F.array(F.concat(F.lit("b"), F.col("birth").cast("string")), F.concat(F.lit("p"), F.col("phone")))).alias("context")).where("context IS NOT NULL")
-    size = contexts.groupBy("context").agg(F.count("*").alias("n")).where("n > 1")
-    held = contexts.join(size, "context")
-    rare = held.where(F.col("n") <= COMMON_CONTEXT).join(norms, "id").select("id", "context", "norm", F.explode(grams).alias("gram"))
-    weighted = rare.join(weight, "gram").select("id", "context", "gram", (F.col("w") / F.col("norm")).alias("v"))
-    other = weighted.select(F.col("id").alias("b"), "context", "gram", F.col("v").alias("v_b"))
-    dots = weighted.withColumnRenamed("id", "a").join(other, ["context", "gram"]).where("a < b").groupBy("a", "b", "context").agg(F.sum(F.col("v") * F.col("v_b")).alias("cosine"))
-    near = dots.groupBy("a", "b").agg(F.max("cosine").alias("cosine")).where("cosine >= 0.25")
-
-    words = F.array_sort(F.split("folded", " "))
-    whole = held.where(F.col("n") > COMMON_CONTEXT).select("id", F.xxhash64("context", F.array_join(words, " ")).alias("key"))
-    slips = people.where("mrn IS NOT NULL").select(
-        "id", F.explode(F.array_distinct(F.concat(F.array("mrn"), F.transform(F.sequence(F.lit(1), F.length("mrn")), lambda i: F.concat(F.substring("mrn", F.lit(1), i - 1), F.substring("mrn", i + 1, F.lit(100))))))).alias("slip"), "folded"
-    )
-    slip_size = slips.groupBy("slip").agg(F.count("*").alias("n")).where("n > 1")
-    by_slip = slips.join(slip_size, "slip").select("id", F.xxhash64("slip", F.when(F.col("n") > COMMON_CONTEXT, F.array_join(words, " "))).alias("key"))
-    keyed = whole.unionByName(by_slip)
-    paired = keyed.withColumnRenamed("id", "a").join(keyed.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b", F.lit(None).cast("double").alias("cosine"))
-    return near.unionByName(paired).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    weight = each.groupBy("gram").agg(F.count("*").alias("df")).join(F.broadcast(n_rows)).select("gram", (F.log(F.col("n_rows") / F.col("df")) + 1).alias("w"))
+    weighed = each.join(F.broadcast(weight), "gram")  # at most 28 ** 3 trigrams of a to z, ^ and $
+    listed = weighed.groupBy("id").agg(F.collect_list(F.struct("gram", "w")).alias("g"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return listed.select("id", "norm", F.explode("g").alias("g")).select("id", F.xxhash64("g.gram").alias("gram"), (F.col("g.w") / F.col("norm")).alias("v"))
+
+
+def met(keyed: DataFrame, also: list[str]) -> DataFrame:
+    """Each two ids a < b that share a key, once for each shared key; ``keyed``: key, id and the columns ``also``, which come out with
+    the endings _a and _b. The rows of a key with more than SPLIT of them are spread over as many tasks as that asks for, against copies of the others."""
+    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT).select("key", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts"))
+    held = keyed.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    left = held.select("key", F.col("id").alias("a"), *(F.col(c).alias(f"{c}_a") for c in also), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    right = held.select("key", F.col("id").alias("b"), *(F.col(c).alias(f"{c}_b") for c in also), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return left.join(right, ["key", "part"]).where("a < b")
+
+
+def candidate_pairs(people: DataFrame) -> DataFrame:
+    """(a, b, cosine, exact) with a < b: rows that can score high enough to be linked; ``cosine`` is a sum over the contexts that the
+    two share where it is not ``exact``.
+
+    Rows whose names have a cosine of LEAST_COSINE or more and that share a birth date or a phone, and rows whose record numbers are equal but for one slip (a
+    digit left out, added, exchanged or two swapped) and that share birth date, phone, or the first letter of a word of the name.
+    ``people``: id, folded, mrn, phone, birth.
+    """
+    vectors = checkpointed(name_vectors(people))
+    birth, phone = F.concat(F.lit("b"), F.col("birth").cast("string")), F.concat(F.lit("p"), F.col("phone"))
+    contexts = people.select("id", F.explode(F.array(birth, phone)).alias("context")).where("context IS NOT NULL").select("id", F.xxhash64("context").alias("context"))
+    alone = contexts.groupBy("context").agg(F.count("*").alias("n")).where("n > 1").select("context")
+    named = contexts.join(alone, "context").join(vectors, "id").select("id", "v", F.xxhash64("context", "gram").alias("key"))
+    dots = met(named, ["v"]).groupBy("a", "b").agg(F.sum(F.col("v_a") * F.col("v_b")).alias("cosine"))  # twice the cosine where both contexts are shared
+    near = dots.where(F.col("cosine") >= LEAST_COSINE).select("a", "b", "cosine", F.lit(True).alias("by_context"))
+
+    dropped = F.transform(F.sequence(F.lit(1), F.length("mrn")), lambda i: F.concat(F.substring("mrn", F.lit(1), i - 1), F.substring("mrn", i + 1, F.lit(100))))
+    letters = F.transform(F.split("folded", " "), lambda w: F.concat(F.lit("w"), F.substring(w, 1, 1)))
+    about = F.array_distinct(F.filter(F.concat(F.array(birth, phone), F.coalesce(letters, F.array().cast("array<string>"))), lambda x: x.isNotNull() & (x != "w")))
+    slips = people.where("mrn IS NOT NULL").select("id", F.explode(F.transform(F.array_distinct(F.concat(F.array("mrn"), dropped)), lambda x: F.xxhash64(x))).alias("slip"))
+    shared = slips.join(slips.groupBy("slip").agg(F.count("*").alias("n")).where("n > 1").select("slip"), "slip")
+    numbered = met(shared.join(people.select("id", F.explode(about).alias("x")), "id").select("id", F.xxhash64("slip", "x").alias("key")), []).select("a", "b").distinct()
+    ours = numbered.join(vectors.withColumnsRenamed({"id": "a", "v": "v_a"}), "a")
+    shared_grams = ours.join(vectors.withColumnsRenamed({"id": "b", "v": "v_b"}), ["b", "gram"]).groupBy("a", "b").agg(F.sum(F.col("v_a") * F.col("v_b")).alias("cosine"))
+    by_number = numbered.join(shared_grams, ["a", "b"], "left").select("a", "b", F.coalesce("cosine", F.lit(0.0)).alias("cosine"), F.lit(False).alias("by_context"))
+    return near.unionByName(by_number).groupBy("a", "b").agg(F.coalesce(F.max(F.when(~F.col("by_context"), F.col("cosine"))), F.max("cosine")).alias("cosine"), F.max(~F.col("by_context")).alias("exact"))
 
 
 def average_linkage(pairs: DataFrame, least: float, absent: float = 0.25, weights: DataFrame | None = None) -> DataFrame:
@@ -277,8 +296,8 @@ def people_of(patients: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(DoubleType())
-def _score(n1: pd.Series, n2: pd.Series, b1: pd.Series, b2: pd.Series, m1: pd.Series, m2: pd.Series, p1: pd.Series, p2: pd.Series, s1: pd.Series, s2: pd.Series) -> pd.Series:
-    return pd.Series([pair_score(*x) for x in zip(n1, n2, b1, b2, m1, m2, p1, p2, s1, s2)], dtype="float64")
+def _score(n1: pd.Series, n2: pd.Series, b1: pd.Series, b2: pd.Series, m1: pd.Series, m2: pd.Series, p1: pd.Series, p2: pd.Series, s1: pd.Series, s2: pd.Series, c: pd.Series) -> pd.Series:
+    return pd.Series([pair_score(*x) for x in zip(n1, n2, b1, b2, m1, m2, p1, p2, s1, s2, c)], dtype="float64")
 
 
 def scored_pairs(people: DataFrame) -> DataFrame:
@@ -286,7 +305,9 @@ def scored_pairs(people: DataFrame) -> DataFrame:
     fields = F.struct("name", "birth", "mrn", "phone", "sex")
     left, right = people.select(F.col("id").alias("a"), fields.alias("l")), people.select(F.col("id").alias("b"), fields.alias("r"))
     both = candidate_pairs(people).join(left, "a").join(right, "b")
-    return both.select("a", "b", "cosine", _score("l.name", "r.name", "l.birth", "r.birth", "l.mrn", "r.mrn", "l.phone", "r.phone", "l.sex", "r.sex").alias("score"))
+    contexts = F.coalesce((F.col("l.birth") == F.col("r.birth")).cast("int"), F.lit(0)) + F.coalesce((F.col("l.phone") == F.col("r.phone")).cast("int"), F.lit(0))
+    both = both.withColumn("cosine", F.when(F.col("exact"), F.col("cosine")).otherwise(F.col("cosine") / contexts)).where((F.col("cosine") >= LEAST_COSINE) | F.col("exact"))
+    return both.select("a", "b", "cosine", _score("l.name", "r.name", "l.birth", "r.birth", "l.mrn", "r.mrn", "l.phone", "r.phone", "l.sex", "r.sex", "cosine").alias("score"))
 
 
 def linked(patients: DataFrame, least: float = 0.4) -> DataFrame:
@@ -298,7 +319,7 @@ def linked(patients: DataFrame, least: float = 0.4) -> DataFrame:
     """
     people = people_of(patients)
     same = ["name", "folded", "birth", "mrn", "phone", "sex"]
-    self_score = _score("name", "name", "birth", "birth", "mrn", "mrn", "phone", "phone", "sex", "sex")
+    self_score = _score("name", "name", "birth", "birth", "mrn", "mrn", "phone", "phone", "sex", "sex", F.lit(1.0))
     kept = checkpointed(people.groupBy(*same).agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("self", self_score).where(F.col("self") >= least).drop("self"))
     groups = average_linkage(scored_pairs(kept.drop("n")), least, weights=kept.select("id", "n"))
     # a group of copies alone has no pair of its own
