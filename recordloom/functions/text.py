@@ -11,7 +11,7 @@ PLACEHOLDERS = ("null", "undefined", "n/a", "na", "none", "not detected", "not a
 STOP_WORDS = ("the", "and", "for", "with", "from", "was", "were", "that", "this", "are", "has", "have")
 # Words that retrieval leaves out.
 RETRIEVAL_STOP_WORDS = (
-    "the", "and", "for", "with", "from", "was", "were", "that", "this", "are", "has", "have", "what", "when", "which", "who", "how", "did", "does", "is", "in", "of", "to", "on", "an", "at", "by", "or", "patient", "any",
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "how", "in", "is", "it", "of", "on", "or", "patient", "the", "their", "this", "to", "was", "were", "what", "when", "which", "with",
 )
 
 

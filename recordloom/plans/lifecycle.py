@@ -86,13 +86,15 @@ def tombstone_filter(s, d):
     """
 WITH p AS (SELECT _id, regexp_replace(lower(fullName), '[^a-z0-9]', '', 'g') AS name, regexp_replace(lower(mrn), '[^a-z0-9]', '', 'g') AS mrn, right(regexp_replace(phone, '[^0-9]', '', 'g'), 10) AS phone, dateOfBirth AS born FROM patients),
 pairs AS (
-  SELECT a._id AS a, b._id AS b, CASE WHEN a.mrn = b.mrn THEN 100 ELSE 0 END + CASE WHEN a.phone = b.phone AND length(a.phone) = 10 THEN 80 ELSE 0 END + CASE WHEN a.born = b.born THEN 65 ELSE 0 END + CASE WHEN a.name = b.name THEN 50 WHEN contains(a.name, b.name) OR contains(b.name, a.name) THEN 15 ELSE 0 END AS score
+  SELECT a._id AS a, b._id AS b, CASE WHEN a.mrn = b.mrn THEN 100 ELSE 0 END + CASE WHEN a.phone = b.phone AND length(a.phone) = 10 THEN 80 ELSE 0 END + CASE WHEN a.born = b.born THEN 65 ELSE 0 END + CASE WHEN a.name = b.name THEN 50 WHEN contains(a.name, b.name) OR contains(b.name, a.name) THEN 15 ELSE 0 END AS score, a.name = b.name AS same_name
   FROM p a JOIN p b ON a._id % 20 = 0 AND a._id <> b._id AND (a.mrn = b.mrn OR (a.phone = b.phone AND length(a.phone) = 10) OR a.born = b.born) WHERE a.name <> '' AND b.name <> ''
-) SELECT a, b, place, score, CASE WHEN score >= 150 THEN 'HIGH' WHEN score >= 100 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS place FROM pairs) WHERE place <= 10
+) SELECT a, b, place, score, CASE WHEN same_name THEN 'HIGH' ELSE 'MEDIUM' END AS band FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS place FROM pairs WHERE score >= 60) WHERE place <= 10
 """
 )
 def match_candidates_scored(s, d):
-    """The ten best matches of the patients whose id is divisible by 20; only rows that share an identity are compared."""
+    """The ten best matches of the patients whose id is divisible by 20; only rows that share an identity are compared.
+
+    A shared record number, phone or birth date is of HIGH confidence with an equal name and of MEDIUM confidence without."""
     p = table(s, d, "patients")
     low = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     phone = F.right(F.regexp_replace("phone", "[^0-9]", ""), F.lit(10))
@@ -105,8 +107,8 @@ def match_candidates_scored(s, d):
     n = lambda cond, points: F.when(cond, points).otherwise(0)
     x, y = lambda f: F.col(f"x.{f}"), lambda f: F.col(f"y.{f}")
     names = F.when(x("name") == y("name"), 50).when(F.contains(x("name"), y("name")) | F.contains(y("name"), x("name")), 15).otherwise(0)
-    scored = met.join(left, "a").join(right, "b").select("a", "b", (n(x("mrn") == y("mrn"), 100) + n(x("phone") == y("phone"), 80) + n(x("born") == y("born"), 65) + names).alias("score"))
+    scored = met.join(left, "a").join(right, "b").select("a", "b", (n(x("mrn") == y("mrn"), 100) + n(x("phone") == y("phone"), 80) + n(x("born") == y("born"), 65) + names).alias("score"), (x("name") == y("name")).alias("same_name")).where("score >= 60")
     from pyspark.sql import Window
 
     placed = scored.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b")).cast("bigint")).where("place <= 10")
-    return placed.select("a", "b", "place", F.col("score").cast("int").alias("score"), F.when(F.col("score") >= 150, "HIGH").when(F.col("score") >= 100, "MEDIUM").otherwise("LOW").alias("band"))
+    return placed.select("a", "b", "place", F.col("score").cast("int").alias("score"), F.when(F.col("same_name"), "HIGH").otherwise("MEDIUM").alias("band"))

@@ -13,7 +13,8 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 #: The moment from which recent rows are counted; a parameter, so that results do not depend on the clock.
 AS_OF = "2024-06-15 12:00:00"
-APPROVED = ("APPROVED", "VERIFIED", "CLINICIAN_VERIFIED", "AMENDED")
+# States of an approved document.
+APPROVED = ("APPROVED", "CLINICIAN_VERIFIED", "AMENDED", "DOCTOR_VERIFIED")
 
 
 def query(sql: str | None = None):
@@ -39,7 +40,7 @@ def big(x: Column) -> Column:
 # ---------------------------------------------------------------- filters and projections
 
 
-@query(f"SELECT _id, documentType, status FROM clinical_documents WHERE status IN ({listed(APPROVED)})")
+@query("SELECT _id, documentType, status FROM clinical_documents WHERE status IN ('APPROVED', 'CLINICIAN_VERIFIED', 'AMENDED', 'DOCTOR_VERIFIED')")
 def filter_status_in(s: SparkSession, d: str) -> DataFrame:
     """Documents in a group of states; the list reaches the Parquet scan."""
     return table(s, d, "clinical_documents").where(F.col("status").isin(*APPROVED)).select("_id", "documentType", "status")
@@ -84,10 +85,11 @@ def filter_nested_and_counter(s, d):
     return r.where("version > 1 AND extractedData.diagnosis IS NOT NULL").select("_id", "version", F.col("extractedData.diagnosis").alias("diagnosis")).distinct()
 
 
-@query("SELECT _id, allergies FROM patients WHERE allergies IS NOT NULL AND lower(trim(allergies)) NOT IN ('', 'none', 'nil', 'no', 'none known', 'no known allergies', 'n/a', 'na', 'nka', 'nkda')")
+@query("SELECT _id, allergies FROM patients WHERE allergies IS NOT NULL AND lower(trim(allergies)) NOT IN ('', 'none', 'none documented', 'no known allergies', 'no allergies', 'nil', 'n/a', '-', '--')")
 def filter_documented_allergy(s, d):
     said = F.lower(F.trim("allergies"))
-    nothing = ("", "none", "nil", "no", "none known", "no known allergies", "n/a", "na", "nka", "nkda")
+    # Spellings of no allergy.
+    nothing = ("", "none", "none documented", "no known allergies", "no allergies", "nil", "n/a", "-", "--")
     return table(s, d, "patients").where(F.col("allergies").isNotNull() & ~said.isin(*nothing)).select("_id", "allergies")
 
 

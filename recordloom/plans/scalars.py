@@ -90,21 +90,28 @@ def field_contract(s, d):
     return table(s, d, "medication_items").select("item_id", F.coalesce(filled("genericName"), filled("name"), F.lit("unnamed")).alias("label"), conf.alias("confidence"), state.alias("state")).distinct()
 
 
+# Pattern of the name, low and high end, in the order in which they are tried.
+LAB_RANGES = [("hba1c", 4.0, 5.6), ("glucose|sugar|fbs", 70.0, 99.0), ("creatinine", 0.6, 1.2), ("ldl", 0.0, 100.0), ("cholesterol", 0.0, 200.0)]
+
+
+def lab_class(name, result):
+    """CRITICAL over one and a half times the high end, HIGH, LOW, NORMAL; UNKNOWN without a number or a range."""
+    name, v = F.lower(name), X.first_number(result)
+    low = high = F.lit(None).cast("double")
+    for pattern, lo, hi in reversed(LAB_RANGES):
+        low, high = F.when(name.rlike(pattern), F.lit(lo)).otherwise(low), F.when(name.rlike(pattern), F.lit(hi)).otherwise(high)
+    return F.when(v.isNull() | high.isNull(), "UNKNOWN").when(v > high * 1.5, "CRITICAL").when(v > high, "HIGH").when(v < low, "LOW").otherwise("NORMAL")
+
+
 @query(
-    """WITH r(code, lo, hi) AS (VALUES ('HBA1C', 4.0::DOUBLE, 5.6::DOUBLE), ('GLU', 70.0::DOUBLE, 99.0::DOUBLE), ('CREA', 0.6::DOUBLE, 1.2::DOUBLE), ('LDL', 0.0::DOUBLE, 129.0::DOUBLE), ('CHOL', 120.0::DOUBLE, 200.0::DOUBLE)),
-t AS (SELECT DISTINCT item_id, numericValue AS v, CASE WHEN regexp_matches(lower(testName), 'a1c') THEN 'HBA1C' WHEN regexp_matches(lower(testName), 'glucose|sugar|fbs') THEN 'GLU' WHEN regexp_matches(lower(testName), 'creatinine') THEN 'CREA' WHEN regexp_matches(lower(testName), 'ldl') THEN 'LDL' WHEN regexp_matches(lower(testName), 'cholesterol') THEN 'CHOL' END AS code FROM investigation_items)
-SELECT item_id, CASE WHEN v IS NULL OR r.code IS NULL THEN 'UNKNOWN' WHEN v > hi * 1.5::DOUBLE THEN 'CRITICAL' WHEN v > hi THEN 'HIGH' WHEN v < lo THEN 'LOW' ELSE 'NORMAL' END AS class FROM t LEFT JOIN r ON r.code = t.code"""
+    """WITH r(code, lo, hi) AS (VALUES ('HBA1C', 4.0::DOUBLE, 5.6::DOUBLE), ('GLU', 70.0::DOUBLE, 99.0::DOUBLE), ('CREA', 0.6::DOUBLE, 1.2::DOUBLE), ('LDL', 0.0::DOUBLE, 100.0::DOUBLE), ('CHOL', 0.0::DOUBLE, 200.0::DOUBLE)),
+t AS (SELECT DISTINCT item_id, resultValue, try_cast(regexp_extract(replace(coalesce(resultValue, ''), ',', ''), '-?[0-9]+(\.[0-9]+)?') AS DOUBLE) AS v,
+  CASE WHEN contains(lower(testName), 'hba1c') THEN 'HBA1C' WHEN regexp_matches(lower(testName), 'glucose|sugar|fbs') THEN 'GLU' WHEN contains(lower(testName), 'creatinine') THEN 'CREA' WHEN contains(lower(testName), 'ldl') THEN 'LDL' WHEN contains(lower(testName), 'cholesterol') THEN 'CHOL' END AS code FROM investigation_items)
+SELECT DISTINCT item_id, v AS value, CASE WHEN v IS NULL OR r.code IS NULL THEN 'UNKNOWN' WHEN v > hi * 1.5::DOUBLE THEN 'CRITICAL' WHEN v > hi THEN 'HIGH' WHEN v < lo THEN 'LOW' ELSE 'NORMAL' END AS class FROM t LEFT JOIN r ON r.code = t.code"""
 )
 def lab_classify(s, d):
-    """Values against a small table of ranges; the first name that fits decides."""
-    # Pattern of the name, low and high end, in the order in which they are tried.
-    ranges = [("a1c", 4.0, 5.6), ("glucose|sugar|fbs", 70.0, 99.0), ("creatinine", 0.6, 1.2), ("ldl", 0.0, 129.0), ("cholesterol", 120.0, 200.0)]
-    name, v = F.lower("testName"), F.col("numericValue")
-    low = high = F.lit(None).cast("double")
-    for pattern, lo, hi in reversed(ranges):
-        low, high = F.when(name.rlike(pattern), F.lit(lo)).otherwise(low), F.when(name.rlike(pattern), F.lit(hi)).otherwise(high)
-    found = F.when(v.isNull() | high.isNull(), "UNKNOWN").when(v > high * 1.5, "CRITICAL").when(v > high, "HIGH").when(v < low, "LOW").otherwise("NORMAL")
-    return table(s, d, "investigation_items").select("item_id", found.alias("class"), v.alias("v")).distinct().drop("v")
+    """The first number of the typed result against a small table of ranges; the first name that fits decides."""
+    return table(s, d, "investigation_items").select("item_id", X.first_number(F.col("resultValue")).alias("value"), lab_class(F.col("testName"), F.col("resultValue")).alias("class")).distinct()
 
 
 @query(
