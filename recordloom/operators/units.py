@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordloom.operators.skew import bounded_rows
+from recordloom.session import checkpointed
 
 # Prefixes and their power of ten.
 PREFIXES = {"k": 3, "kilo": 3, "d": -1, "deci": -1, "c": -2, "centi": -2, "m": -3, "milli": -3, "u": -6, "mc": -6, "mcg": None, "micro": -6, "n": -9, "nano": -9, "p": -12, "pico": -12}
@@ -45,6 +46,8 @@ ROOTS = {
 }
 # Words that say nothing on scale or dimension.
 NOISE = ("ngsp", "dcct", "ifcc", "hb", "of", "total", "units", "unit", "deg", "degrees", "degree", "°", "º", ".", ",", "(", ")", "[", "]", "x", "×", "approx", "about")
+# Pieces that are units only where nothing follows them.
+SHORT_WORDS = ("in", "ms", "mt", "ft", "gs", "lt", "lb")
 # What is read as a fraction bar.
 BARS = ("/", "per", "÷")
 # Fields by the way their names are typed, in this order, and the spaces of dimensions that a field can have.
@@ -107,13 +110,14 @@ def plain(text: str) -> str:
 
 @lru_cache(maxsize=50_000)
 def segment(text: str) -> tuple[tuple[float, Unit], ...]:
-    """All decompositions of a unit string with their cost, cheapest first; () where it can't be read.
+    """All decompositions of a unit string with their cost, cheapest first; () where it can't be read. Words behind the unit are left
+    out: the longest piece from the start that can be read counts.
 
     The state of the dynamic program is (position, below the bar?, dimension, scale); a step consumes a power of ten, a noise
     word, a bar, or an optional prefix with a root. Longer pieces cost less, noise and prefixes cost a little.
     """
     text = plain(text).strip(" .;:")
-    if not text or text in NO_UNIT or len(text) > 60:  # no unit is written that long
+    if not text or text in NO_UNIT:
         return ()
     states: list[dict] = [{} for _ in range(len(text) + 1)]
     states[0][(False, (), 0.0)] = 0.0
@@ -146,12 +150,24 @@ def segment(text: str) -> tuple[tuple[float, Unit], ...]:
                     have = dict(dims)
                     have[base] = have.get(base, 0) + sign
                     put(end, (below, tuple(sorted((k, v) for k, v in have.items() if v)), scale + sign * (own + power)), cost + extra + 1.0 / len(word))
-    out: dict = {}
-    for (_, dims, scale), cost in states[len(text)].items():
-        for unit in _canonical(dims, scale):
-            if cost < out.get(unit, math.inf):
-                out[unit] = cost
-    return tuple(sorted(((c, u) for u, c in out.items()), key=lambda x: (x[0], str(x[1]))))
+    # the whole text, else the longest piece from its start that ends with a word and is more than one letter
+    for end in range(len(text), 1, -1):
+        if not states[end] or (end < len(text) and (text[end].isalnum() or text[end - 1] == " " or text[:end].strip() in SHORT_WORDS)):
+            continue
+        out: dict = {}
+        for (_, dims, scale), cost in states[end].items():
+            for unit in _canonical(dims, scale):
+                if cost < out.get(unit, math.inf):
+                    out[unit] = cost
+        if out:
+            return tuple(sorted(((c, u) for u, c in out.items()), key=lambda x: (x[0], str(x[1]))))
+    return _whole(states, text)
+
+
+def _whole(states: list[dict], text: str) -> tuple[tuple[float, Unit], ...]:
+    """The readings of a text of one letter."""
+    found = {u: c for (_, dims, scale), c in states[len(text)].items() for u in _canonical(dims, scale)} if len(text) == 1 else {}
+    return tuple(sorted(((c, u) for u, c in found.items()), key=lambda x: (x[0], str(x[1]))))
 
 
 def _starts(text: str, at: int) -> bool:
@@ -217,18 +233,19 @@ class UnitTable:
 
 
 _FLAG = r"(?:(?<![/\w])(?<!/ )(?<!per )\(?[hl]{1,2}\)?(?!\w)|\*+|\(abn[a-z]*\)|\b(?:high|low|normal|abnormal|critical)\b|↑|↓)"
+_TIME = re.compile(r"\s?-?\s?(?:hours?|hrs?|h|minutes?|mins?|days?|weeks?|months?)\b(?!\s*/)", re.I)  # after a number that is no result
 _NUMBER = re.compile(r"[-+]?\d+(?:[.,·]\d+)*")
 
 
 def split_value(text: str | None) -> tuple[float | None, str]:
-    """The first number of a typed result, and the text beside it without flags and comparison words.
+    """The first number of a typed result that is no time, and the text behind it without flags and comparison words.
 
     '117,175' is read as thousands (three digits after every comma), '9,5' as a decimal comma. No number: (None, '').
     """
     if not text:
         return None, ""
     flat = plain(text)
-    m = _NUMBER.search(flat)
+    m = next((x for x in _NUMBER.finditer(flat) if not (_TIME.match(flat, x.end()) and _NUMBER.search(flat, x.end()))), None)
     if not m:
         return None, ""
     digits, rest = m[0], flat[m.end():]
@@ -323,7 +340,8 @@ def recorded_units(items: DataFrame, unit_table: DataFrame) -> DataFrame:
     """
     units = UnitTable.of(unit_table)
     items = items.drop("field", "value", "unit_code", "source", "common_unit", "common_value", "_w", "_u", "_units")
-    written = with_written_unit(items, units).where(F.col("value").isNotNull() & F.col("field").isin(*units.by_field))
+    # read twice, for the typical ranges and for the rows; the texts are looked through once
+    written = checkpointed(with_written_unit(items, units).where(F.col("value").isNotNull() & F.col("field").isin(*units.by_field)))
     typical: dict[str, tuple[float, float | None, float]] = {}
     for r in bounded_rows(typical_ranges(written), 10_000, "the typical ranges"):
         row = next(x for x in units.by_field[r.field] if x["unit_code"] == r.written_unit)

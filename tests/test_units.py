@@ -56,3 +56,14 @@ def test_order_of_evidence_defaults_nulls_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert U.recorded_units(spark.createDataFrame([], SCHEMA), unit_frame(spark)).count() == 0
+
+
+def test_units_inside_text():
+    from recordloom.operators.units import segment, split_value
+
+    for text, value, unit in (
+        ("5.4 mmol/L fasting", 5.4, "mmol/L"), ("7.8 mmol/L (repeat)", 7.8, "mmol/L"), ("112 mg/dL, sample haemolysed", 112.0, "mg/dL"), ("after 2 hours 7.8 mmol/L", 7.8, "mmol/L"), ("5.4 mmol/L " + "fasting " * 5000, 5.4, "mmol/L"),
+    ):
+        number, beside = split_value(text)
+        assert number == value and segment(beside)[0][1] == segment(unit)[0][1], text
+    assert segment("in range") == () and segment("see the note below") == ()
