@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recordloom.operators.ordered import chunked, with_latest, with_position, with_previous
 from recordloom.operators.skew import salted_join
+from recordloom.session import checkpointed, written
 
 # How roles are typed, and what stands in for a missing text.
 USER_ROLES = ("user", "human", "usr", "patient", "doctor", "clinician", "customer", "client", "person", "me", "u")
@@ -49,7 +50,7 @@ def defects(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     'no_question': a run of one side without a neighbouring run of the other side that holds a row that is not blank, after or
     before it. 'no_role': a row whose role cannot be read. Rows delivered twice count once; null conversations are left out.
     """
-    once = messages_once(messages, with_content=False)
+    once = checkpointed(messages_once(messages, with_content=False))  # read for the borders of chunks, the chunks and the lost roles
     turns = chunked(once.where("code IN ('USER', 'ASSISTANT')").select("_id", "conversation", "code", "blank", "createdAt"), "conversation", ORDER)
     marked = with_previous(turns, "conversation", ORDER, F.col("code"), "before")
     here = F.struct(*ORDER)
@@ -109,7 +110,7 @@ def rebuilt(messages: DataFrame, conversations: DataFrame, gap: float | None = N
     """Ordered conversations without defects: (conversation, session, turn, speaker, role_inferred, createdAt, _id, content).
 
     Sessions end at pauses of at least ``gap`` seconds (calibrated on all pauses where None). A role that cannot be read is taken
-    from its neighbours: a row after a USER row speaks as ASSISTANT and the reverse. Conversations whose runs lack a reply or a
+    from its neighbours: speakers take turns from the last row whose role is known, or back from the first such row. Conversations whose runs lack a reply or a
     question, or that are empty, are dropped as a whole; sessions in which only one side speaks are dropped too.
     """
     bad = defects(messages, conversations).where("defect <> 'no_role'").select("conversation").distinct()
@@ -122,17 +123,25 @@ def rebuilt(messages: DataFrame, conversations: DataFrame, gap: float | None = N
     timed = timed.withColumn("gap", F.when(F.col("last").isNotNull(), seconds))
     pause = calibrated_gap(timed) if gap is None else gap
     starts = F.when(F.col("gap").isNull() | (F.col("gap") >= F.lit(pause)), F.struct(*ORDER))
-    inferred = F.when(F.col("last.code") == "USER", "ASSISTANT").otherwise("USER")
-    sessions = with_latest(timed, "conversation", ORDER, starts, "session_start").withColumn("speaker", F.coalesce("code", inferred))
+    known_role = F.when(F.col("code").isNotNull(), F.col("code"))
+    sessions = with_latest(timed, "conversation", ORDER, starts, "session_start")
+    # a lost role continues the turns from the last row whose role is known, by the number of rows since; before any, it answers to the next one
+    numbered = with_position(sessions, "conversation", ORDER, "turn")
+    heard = with_latest(numbered, "conversation", ORDER, F.when(known_role.isNotNull(), F.struct(known_role.alias("code"), F.col("turn").alias("turn"))), "heard")
+    first = heard.where("code IS NOT NULL").groupBy("conversation").agg(F.min_by(F.struct("code", "turn"), "turn").alias("first"))
+    heard = salted_join(heard, first, ["conversation"], F.col("_id"), "left")
+    anchor = F.coalesce("heard", "first")
+    other = F.when(anchor["code"] == "USER", "ASSISTANT").otherwise("USER")
+    inferred = F.when(F.abs(F.col("turn") - anchor["turn"]) % 2 == 0, anchor["code"]).otherwise(other)
+    sessions = heard.withColumn("speaker", F.coalesce("code", inferred, F.lit("USER")))
     both = sessions.groupBy("conversation", "session_start").agg(F.countDistinct("speaker").alias("sides")).where("sides = 2").drop("sides")
-    placed = with_position(sessions, "conversation", ORDER, "turn")
-    kept = salted_join(placed, both, ["conversation", "session_start"], F.col("_id"), "left_semi")
+    kept = salted_join(sessions, both, ["conversation", "session_start"], F.col("_id"), "left_semi")
     return kept.select("conversation", F.col("session_start.createdAt").alias("session"), "turn", "speaker", F.col("code").isNull().alias("role_inferred"), "createdAt", "_id", "content")
 
 
 def answer_pairs(messages: DataFrame) -> DataFrame:
     """(answer_id, answer, question_id, question, answer_blank): ASSISTANT rows whose nearest earlier USER or ASSISTANT row is a USER row."""
-    once = messages_once(messages, with_content=True).where("code IN ('USER', 'ASSISTANT')")
+    once = written(messages_once(messages, with_content=True).where("code IN ('USER', 'ASSISTANT')"))
     turns = chunked(once, "conversation", ORDER)
     paired = with_previous(turns, "conversation", ORDER, F.struct(F.col("code").alias("code"), F.col("_id").alias("id"), F.col("content").alias("content")), "q")
     return paired.where("code = 'ASSISTANT' AND q.code = 'USER'").select(

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.operators.skew import bounded_rows
+from recordloom.session import checkpointed
 
 BINS = 4096
 _ENCODER: dict = {}
@@ -102,7 +103,7 @@ def planned_means(histogram: dict[str, list[float]], shares: dict[str, float], c
     return out
 
 
-def mixed(docs: DataFrame, targets: DataFrame, vocabulary: str, seed: int = 17, source_limit: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def mixed(docs: DataFrame, targets: DataFrame, vocabulary: str, seed: int = 17, source_limit: int = 1_000) -> tuple[DataFrame, DataFrame]:
     """(copies, shares). ``docs``: doc_id, source, text; ``targets``: source, target_share, max_repeats (a fixed list).
 
     copies: doc_id, source, copy_no, n_tokens in a globally random order (by hash). shares: source, target_share, max_repeats,
@@ -112,7 +113,7 @@ def mixed(docs: DataFrame, targets: DataFrame, vocabulary: str, seed: int = 17,
     """
     goals = {r.source: r for r in bounded_rows(targets.select("source", "target_share", "max_repeats"), source_limit, "the list of sources")}
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sized = docs.where(F.col("source").isin(*goals)).select("doc_id", "source", token_counts(F.col("text"), vocabulary).alias("n_tokens"), draw.alias("u"))
+    sized = checkpointed(docs.where(F.col("source").isin(*goals)).select("doc_id", "source", token_counts(F.col("text"), vocabulary).alias("n_tokens"), draw.alias("u")))  # the tokens are counted once
     bins = sized.groupBy("source", F.floor(F.col("u") * BINS).cast("int").alias("bin")).agg(F.sum("n_tokens").alias("tokens"))
     histogram: dict[str, list[float]] = {s: [0.0] * BINS for s in goals}
     for r in bins.collect():  # at most BINS rows for each source of the list

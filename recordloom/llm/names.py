@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.operators.skew import bounded_rows
+from recordloom.session import checkpointed
 
 # Dosage forms, salts and release marks that are no part of a name.
 FORMS = "tab|tabs|tablet|tablets|cap|caps|capsule|capsules|inj|injection|syp|syr|syrup|susp|suspension|oint|ointment|drops?|cream|gel|spray|inh|inhaler|sol|solution|amp|vial|t|c|rx"
@@ -29,6 +30,7 @@ ALIKE = [("ee", "i"), ("ph", "f"), ("rn", "m"), ("ck", "c"), ("ks", "x"), ("y",
 # Pairs of letters that are often taken for each other, with the cost of the exchange.
 CHEAP = {frozenset(p): 0.4 for p in ("yi", "zs", "kc", "ei", "il", "uv", "ec", "hn", "oa", "nm", "rv", "gq", "bd", "fp")}
 MAX_EDITS = 2
+BROADCAST_SPELLINGS = 5_000  # a spelling has some hundred deletes; more spellings are joined by a shuffle
 
 
 def _strip_accents(text: Column) -> Column:
@@ -125,22 +127,27 @@ def map_names(values: DataFrame, reference: DataFrame, reference_limit: int = 10
 
     counted = values.where("value IS NOT NULL AND value <> ''").groupBy("value").agg(F.count("*").alias("uses"))
     parts = counted.select("value", "uses", F.posexplode_outer(name_parts(F.col("value"))).alias("part_no", "p")).select("value", "uses", "part_no", "p.key", "p.short")
-    keys = parts.where("key IS NOT NULL").groupBy("key", "short").agg(F.sum("uses").alias("uses"))
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few rows, but much is made of each: spread over all tasks and kept for the three lookups
+    keys = checkpointed(parts.where("key IS NOT NULL").groupBy("key", "short").agg(F.sum("uses").alias("uses")).repartition(tasks, "key"))
 
     exact = keys.join(F.broadcast(dictionary), keys.key == dictionary.spelling).select("key", "short", "entry", "uses")
     used = exact.groupBy("entry").agg(F.sum("uses").alias("entry_uses"))  # at most one row for each entry of the reference
 
     fit = F.length("key") <= longest  # longer keys are further than two edits from every spelling
-    begun = (
-        keys.where(F.col("short") & (F.length("key") >= 3))
-        .join(F.broadcast(dictionary), dictionary.spelling.startswith(F.col("key")) | F.when(F.length("key") >= 5, folded(dictionary.spelling).startswith(folded(F.col("key")))))
-        .select("key", "short", "entry", "spelling", F.lit(True).alias("begins"))
-    )
+    # abbreviations meet the prefixes of the spellings, as typed and folded, by equality
+    prefixes = lambda c: F.transform(F.sequence(F.lit(3), F.greatest(F.length(c), F.lit(3))), lambda k: F.substring(c, F.lit(1), k))
+    heads = dictionary.select("entry", "spelling", F.explode(prefixes(F.col("spelling"))).alias("head")).distinct()
+    folded_heads = dictionary.select("entry", "spelling", F.explode(prefixes(folded(F.col("spelling")))).alias("head")).distinct()
+    short = keys.where(F.col("short") & (F.length("key") >= 3)).select("key", "short")
+    begun = short.withColumn("head", F.col("key")).join(heads, "head").unionByName(short.where("length(key) >= 5").withColumn("head", folded(F.col("key"))).join(folded_heads, "head"))
+    begun = begun.select("key", "short", "entry", "spelling", F.lit(True).alias("begins")).distinct()
 
     def near(form) -> DataFrame:
         ours = keys.where(fit).select("key", "short", F.explode(deletes(form(F.col("key")))).alias("stub"))
         theirs = dictionary.select("entry", "spelling", F.explode(deletes(form(F.col("spelling")))).alias("stub"))
-        return ours.join(F.broadcast(theirs), "stub").select("key", "short", "entry", "spelling").distinct()
+        theirs = F.broadcast(theirs) if len(bound) <= BROADCAST_SPELLINGS else theirs
+        return ours.join(theirs, "stub").select("key", "short", "entry", "spelling").distinct()
 
     close = near(lambda k: k).unionByName(near(folded)).distinct().withColumn("begins", F.lit(False))
 
@@ -159,7 +166,6 @@ def map_names(values: DataFrame, reference: DataFrame, reference_limit: int = 10
 
         return pd.Series([one(*x) for x in zip(key, spelling, begins)], dtype="float64")
 
-    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     candidates = begun.unionByName(close).repartition(tasks, "key", "spelling").withColumn("cost", cost.asNondeterministic()("key", "spelling", "begins"))  # else the filter below is pushed down and costs are made for every join row
     short_key = F.length("key") < 7
     kept = candidates.where(F.col("begins") | (F.col("cost") <= F.when(short_key, 1.0).otherwise(2.0)))
