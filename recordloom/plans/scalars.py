@@ -105,7 +105,7 @@ def lab_class(name, result):
 
 @query(
     """WITH r(code, lo, hi) AS (VALUES ('HBA1C', 4.0::DOUBLE, 5.6::DOUBLE), ('GLU', 70.0::DOUBLE, 99.0::DOUBLE), ('CREA', 0.6::DOUBLE, 1.2::DOUBLE), ('LDL', 0.0::DOUBLE, 100.0::DOUBLE), ('CHOL', 0.0::DOUBLE, 200.0::DOUBLE)),
-t AS (SELECT DISTINCT item_id, resultValue, try_cast(regexp_extract(replace(coalesce(resultValue, ''), ',', ''), '-?[0-9]+(\.[0-9]+)?') AS DOUBLE) AS v,
+t AS (SELECT DISTINCT item_id, resultValue, try_cast(regexp_extract(replace(coalesce(resultValue, ''), ',', ''), '-?[0-9]+([.][0-9]+)?') AS DOUBLE) AS v,
   CASE WHEN contains(lower(testName), 'hba1c') THEN 'HBA1C' WHEN regexp_matches(lower(testName), 'glucose|sugar|fbs') THEN 'GLU' WHEN contains(lower(testName), 'creatinine') THEN 'CREA' WHEN contains(lower(testName), 'ldl') THEN 'LDL' WHEN contains(lower(testName), 'cholesterol') THEN 'CHOL' END AS code FROM investigation_items)
 SELECT DISTINCT item_id, v AS value, CASE WHEN v IS NULL OR r.code IS NULL THEN 'UNKNOWN' WHEN v > hi * 1.5::DOUBLE THEN 'CRITICAL' WHEN v > hi THEN 'HIGH' WHEN v < lo THEN 'LOW' ELSE 'NORMAL' END AS class FROM t LEFT JOIN r ON r.code = t.code"""
 )
