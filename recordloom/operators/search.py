@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from recordloom.functions.text import tokens
 from recordloom.operators.similarity import contains_join, edit_join
+from recordloom.operators.skew import salted_join
+from recordloom.session import checkpointed
 
 # The weight of a field in the postings.
 WEIGHTS = {
@@ -18,9 +20,18 @@ WEIGHTS = {
     "lab": {"testName": 4.0},
     "record": {"title": 5.0, "recordType": 3.0, "month": 2.5, "diagnosis": 3.8, "verificationNotes": 2.5},
 }
-# Scores of the stages.
+# Fields that are looked up as whole phrases only.
+PHRASES_ONLY = {"patient": ("phone",)}
+# Scores of the stages; how many entities a prefix keeps, and a page of them shows.
 PREFIX_SCORE, INDEX_FACTOR, BOTH_FACTOR, ALL_TOKENS_BOOST, SUBSTRING_SCORE = 100.0, 10.0, 5.0, 1.5, 40.0
-FIRST_OF_PREFIX = 25
+FUZZY_SCORE, FUZZY_STEP, FUZZY_PAGE = 75.0, 15.0, 20
+FIRST_OF_PREFIX, PREFIX_PAGE = 25, 30
+# Lengths of the beginnings on which phrases and queries meet: a query takes the longest that it fills.
+HEADS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
+
+
+def fields_of(kind: str) -> list[str]:
+    return [*WEIGHTS[kind], *PHRASES_ONLY.get(kind, ())]
 
 
 def month_label(at: Column) -> Column:
@@ -31,7 +42,7 @@ def entities(read: Callable[[str], DataFrame]) -> DataFrame:
     """(id, kind, title, subtitle, field, text): one row for each field of each entity that search knows."""
 
     def long(df: DataFrame, kind: str, key: Column, title: Column, subtitle: Column) -> DataFrame:
-        fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in WEIGHTS[kind]))
+        fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields_of(kind)))
         return df.select(key.alias("id"), F.lit(kind).alias("kind"), title.alias("title"), subtitle.alias("subtitle"), F.explode(fields).alias("x")).select("id", "kind", "title", "subtitle", "x.*").where("text IS NOT NULL")
 
     def named(prefix: str, *parts: str) -> Column:
@@ -53,37 +64,48 @@ def entities(read: Callable[[str], DataFrame]) -> DataFrame:
 
 def postings(fields: DataFrame) -> DataFrame:
     """(token, id, kind, score, n_fields): the summed weights of a token in an entity, each occurrence counted."""
-    weight = F.lit(0.0)
+    weight = F.lit(None).cast("double")
     for kind, ws in WEIGHTS.items():
         for field, w in ws.items():
             weight = F.when((F.col("kind") == kind) & (F.col("field") == field), F.lit(w)).otherwise(weight)
-    words = fields.select("id", "kind", "field", weight.alias("w"), F.explode(tokens(F.col("text"))).alias("token"))
+    words = fields.select("id", "kind", "field", weight.alias("w"), "text").where("w IS NOT NULL").select("id", "kind", "field", "w", F.explode(tokens(F.col("text"))).alias("token"))
     return words.groupBy("token", "id", "kind").agg(F.round(F.sum("w"), 4).alias("score"), F.countDistinct("field").alias("n_fields"))
 
 
 def lookup(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, id, kind, score, hits): summed scores, raised by half where every token of the query is met."""
+    """(query_id, id, kind, score, hits): summed scores, raised by half where every token of the query is met.
+
+    Entities of a common token are spread over tasks. A query without tokens finds nothing.
+    """
     asked = queries.select("query_id", F.size(tokens(F.col("q"))).alias("n"), F.explode(tokens(F.col("q"))).alias("token"))
-    met = asked.join(index.select("token", "id", "kind", "score"), "token").groupBy("query_id", "id", "kind").agg(F.sum("score").alias("score"), F.count("*").alias("hits"), F.max("n").alias("n"))
+    met = salted_join(index.select("token", "id", "kind", "score"), asked, ["token"], F.col("id")).groupBy("query_id", "id", "kind").agg(F.sum("score").alias("score"), F.count("*").alias("hits"), F.max("n").alias("n"))
     return met.select("query_id", "id", "kind", F.round(F.col("score") * F.when(F.col("hits") == F.col("n"), ALL_TOKENS_BOOST).otherwise(1.0), 4).alias("score"), "hits")
 
 
 def phrases(fields: DataFrame) -> DataFrame:
     """(id, kind, phrase): whole field values in lower case that prefixes are looked up in."""
-    known = fields.where("field IN ('fullName', 'mrn', 'originalFilename', 'documentType', 'month', 'name', 'genericName', 'testName', 'title', 'diagnosis')")
+    known = fields.where("field IN ('fullName', 'mrn', 'phone', 'originalFilename', 'documentType', 'month', 'name', 'genericName', 'testName', 'title', 'diagnosis')")
     return known.select("id", "kind", F.lower(F.trim("text")).alias("phrase")).where("phrase <> ''").distinct()
 
 
-def by_prefix(queries: DataFrame, known: DataFrame, size: int = 3) -> DataFrame:
-    """(query_id, id, kind): the first entities, by id, of those with a phrase that begins with the query (``size`` letters or longer).
+def by_prefix(queries: DataFrame, known: DataFrame, page: int = PREFIX_PAGE) -> DataFrame:
+    """(query_id, id, kind): the first entities, by id, of those with a phrase that begins with the query.
 
-    Phrases and queries meet on their first ``size`` letters; a phrase that equals the query always counts.
+    Of each query the first 25 count, and those with a phrase that equals it, up to ``page`` in all. Distinct phrases and queries
+    meet on a beginning nearly as long as the query; phrases of a common beginning, and entities of a common phrase, are spread
+    over tasks. An empty query finds nothing.
     """
-    asked = queries.where(F.length("q") >= size).select("query_id", "q", F.substring("q", 1, size).alias("head"))
-    met = asked.join(known.withColumn("head", F.substring("phrase", 1, size)), "head").where(F.col("phrase").startswith(F.col("q")))
-    each = met.groupBy("query_id", "id", "kind").agg(F.max((F.col("phrase") == F.col("q")).cast("int")).alias("whole"))
-    ranked = each.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("id")))
-    return ranked.where((F.col("k") <= FIRST_OF_PREFIX) | (F.col("whole") == 1)).select("query_id", "id", "kind")
+    size = F.coalesce(*(F.when(F.length("q") >= n, F.lit(n)) for n in reversed(HEADS)))
+    asked = queries.where("q <> ''").select("query_id", "q", F.substring(F.col("q"), F.lit(1), size).alias("head"))
+    heads = F.filter(F.array(*(F.when(F.length("phrase") >= n, F.substring("phrase", 1, n)) for n in HEADS)), lambda x: x.isNotNull())
+    begun = known.select("phrase").distinct().select("phrase", F.explode(heads).alias("head"))
+    met = salted_join(begun, asked, ["head"], F.col("phrase")).where(F.col("phrase").startswith(F.col("q"))).select("query_id", "q", "phrase")
+    each = salted_join(known, met, ["phrase"], F.col("id")).groupBy("query_id", "id", "kind").agg(F.max((F.col("phrase") == F.col("q")).cast("int")).alias("whole"))
+
+    def first(rows: DataFrame, k: int) -> DataFrame:
+        return rows.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).where(F.col("k") <= k).select("query_id", "id", "kind")
+
+    return first(first(each, FIRST_OF_PREFIX).unionByName(first(each.where("whole = 1"), page)).distinct(), page)
 
 
 def suggestions(queries: DataFrame, known: DataFrame) -> DataFrame:
@@ -100,15 +122,32 @@ def by_substring(queries: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def fused(queries: DataFrame, fields: DataFrame) -> DataFrame:
-    """(query_id, id, stage, score) over all stages: 100 for a prefix plus five times the index score, ten times the index score
-    alone, 40 for entities that only a substring finds."""
+    """(query_id, id, stage, score) over all stages.
+
+    100 for a prefix plus five times the index score, and ten times the index score alone. Queries of three letters or more that
+    neither finds take the entities of the nearest phrase within two edits: 75 less 15 for each edit. 40 for entities that only a
+    substring finds. An empty query finds nothing.
+    """
     index, known = lookup(queries, postings(fields)), phrases(fields)
     prefix = by_prefix(queries, known).select("query_id", "id", F.lit(True).alias("by_prefix"))
     both = index.select("query_id", "id", F.col("score").alias("s")).join(prefix, ["query_id", "id"], "full")
     value = F.when(F.col("by_prefix") & F.col("s").isNotNull(), PREFIX_SCORE + BOTH_FACTOR * F.col("s")).when(F.col("by_prefix"), F.lit(PREFIX_SCORE)).otherwise(INDEX_FACTOR * F.col("s"))
-    scored = both.select("query_id", "id", F.when(F.col("by_prefix"), "prefix").otherwise("index").alias("stage"), F.round(value, 3).alias("score"))
-    rest = by_substring(queries, fields).join(scored.select("query_id", "id"), ["query_id", "id"], "left_anti").select("query_id", "id", F.lit("substring").alias("stage"), F.lit(SUBSTRING_SCORE).alias("score"))
-    return scored.unionByName(rest)
+    scored = checkpointed(both.select("query_id", "id", F.when(F.col("by_prefix"), "prefix").otherwise("index").alias("stage"), F.round(value, 3).alias("score")))
+    missed = queries.where(F.length("q") >= 3).join(scored.select("query_id").distinct(), "query_id", "left_anti")
+    nearest = checkpointed(suggestions(missed, known))
+    close = by_prefix(nearest.select("query_id", F.col("suggestion").alias("q")), known, FUZZY_PAGE).join(nearest, "query_id")
+    found = scored.unionByName(close.select("query_id", "id", F.lit("fuzzy").alias("stage"), (FUZZY_SCORE - FUZZY_STEP * F.col("distance")).alias("score")))
+    rest = by_substring(queries, fields).join(found.select("query_id", "id"), ["query_id", "id"], "left_anti").select("query_id", "id", F.lit("substring").alias("stage"), F.lit(SUBSTRING_SCORE).alias("score"))
+    return found.unionByName(rest)
+
+
+def page_size(asked: float | str | None, usual: int = 20, most: int = 50) -> int:
+    """A limit as typed, cut to ``most``; ``usual`` where it is missing, nought or no number."""
+    try:
+        size = float(asked or 0)
+    except ValueError:
+        size = 0
+    return int(min(size, most)) if size and size == size else usual
 
 
 def top_results(scored: DataFrame, k: int = 15) -> DataFrame:
