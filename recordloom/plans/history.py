@@ -87,10 +87,44 @@ def _seen(s, d):
     return seen.join(v.groupBy("patient").agg(F.max("visit_no").alias("last_no")), "patient")
 
 
-@query(_BASE + "SELECT patient, key, n_visits, first_no, last_seen, CASE WHEN last_seen < last_no THEN 'Not listed in latest record' WHEN n_visits > 1 THEN 'Continued in latest record' ELSE 'First documented' END AS status FROM seen JOIN latest USING (patient)")
+# Fixed value: words of a note that speak of stopping.
+_STOPPED = r"\b(discontinu|stop(?:ped)?|cease|withdr(?:aw|ew))\w*\b"
+
+_MENTIONS = (
+    _BASE
+    + rf""", names AS (SELECT DISTINCT patient, key, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS words FROM raw JOIN visits USING (visit)),
+notes AS (SELECT v.patient, v.visit, e.aiSummary AS note FROM visits v JOIN clinical_extractions e ON e._id = v.visit UNION ALL SELECT v.patient, visit, verificationNotes FROM visits v JOIN medical_records r ON r.extraction = v.visit),
+said AS (SELECT patient, visit, ' ' || regexp_replace(lower(note), '[^a-z0-9]+', ' ', 'g') || ' ' AS note FROM notes WHERE regexp_matches(lower(note), '{_STOPPED}')),
+mentions AS (SELECT DISTINCT s.patient, s.visit, n.key FROM said s JOIN names n ON n.patient = s.patient AND n.words <> '' AND contains(s.note, ' ' || n.words || ' '))
+"""
+)
+
+
+def _mentions(s: SparkSession, d: str) -> DataFrame:
+    """(patient, visit, key): notes that speak of stopping and name, in whole words, a medicine that the patient has on record.
+
+    Notes and names meet on the patient and the first word of the name, so that not all names of a patient meet all notes.
+    """
+    v = table(s, d, "clinical_extractions").where("patient IS NOT NULL").select("patient", F.col("_id").alias("visit"), "aiSummary")
+    written = table(s, d, "medical_records").select(F.col("extraction").alias("visit"), F.col("verificationNotes").alias("note")).distinct()
+    notes = v.select("patient", "visit", F.col("aiSummary").alias("note")).unionByName(v.select("patient", "visit").join(written, "visit").select("patient", "visit", "note"))
+    words = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    said = notes.where(F.lower("note").rlike(_STOPPED)).select("patient", "visit", words("note").alias("note"))
+    said = said.select("patient", "visit", F.concat(F.lit(" "), "note", F.lit(" ")).alias("note"), F.explode(F.array_distinct(F.split("note", " "))).alias("word"))
+    named = table(s, d, "medication_items").where("name <> ''").select(F.col("extraction").alias("visit"), "name").distinct().join(v.select("patient", "visit"), "visit")
+    named = named.select("patient", compact(F.col("name")).alias("key"), words("name").alias("words")).where("words <> ''").distinct()
+    met = said.join(named.withColumn("word", F.substring_index("words", " ", 1)), ["patient", "word"])
+    return met.where(F.contains("note", F.concat(F.lit(" "), "words", F.lit(" ")))).select("patient", "visit", "key").distinct()
+
+
+@query(
+    _MENTIONS
+    + "SELECT patient, key, n_visits, first_no, last_seen, CASE WHEN (patient, key) IN (SELECT (patient, key) FROM mentions) THEN 'Explicitly discontinued' WHEN last_seen < last_no THEN 'Not listed in latest record' WHEN n_visits > 1 THEN 'Continued in latest record' ELSE 'First documented' END AS status FROM seen JOIN latest USING (patient)"
+)
 def item_timeline_status(s, d):
-    status = F.when(F.col("last_seen") < F.col("last_no"), "Not listed in latest record").when(F.col("n_visits") > 1, "Continued in latest record").otherwise("First documented")
-    return _seen(s, d).select("patient", "key", "n_visits", "first_no", "last_seen", status.alias("status"))
+    stopped = _mentions(s, d).select("patient", "key").distinct().withColumn("stopped", F.lit(True))
+    status = F.when(F.col("stopped"), "Explicitly discontinued").when(F.col("last_seen") < F.col("last_no"), "Not listed in latest record").when(F.col("n_visits") > 1, "Continued in latest record").otherwise("First documented")
+    return _seen(s, d).join(stopped, ["patient", "key"], "left").select("patient", "key", "n_visits", "first_no", "last_seen", status.alias("status"))
 
 
 @query(_BASE + "SELECT patient, key FROM seen JOIN latest USING (patient) WHERE first_no = last_no AND last_no > 1")
@@ -112,10 +146,11 @@ def repeated_items(s, d):
     return t.join(v, "extraction").groupBy("patient", "test").agg(F.count("*").alias("n_visits")).where("n_visits > 1")
 
 
-@query(_BASE + "SELECT patient, count(*) AS n_visits, min(happened) AS first_visit, max(happened) AS last_visit FROM visits GROUP BY 1")
+@query(_BASE + "SELECT v.patient, count(*) AS n_visits, min(happened) AS first_visit, max(happened) AS last_visit, any_value(age) AS age, any_value(gender) AS gender FROM visits v LEFT JOIN patients p ON p._id = v.patient GROUP BY 1")
 def patient_overview(s, d):
-    v = table(s, d, "clinical_extractions").where("patient IS NOT NULL")
-    return v.groupBy("patient").agg(F.count("*").alias("n_visits"), F.min("createdAt").alias("first_visit"), F.max("createdAt").alias("last_visit"))
+    """Visits, the first and the last, with age and gender; patients that are absent have neither."""
+    v = table(s, d, "clinical_extractions").where("patient IS NOT NULL").groupBy("patient").agg(F.count("*").alias("n_visits"), F.min("createdAt").alias("first_visit"), F.max("createdAt").alias("last_visit"))
+    return v.join(table(s, d, "patients").select(F.col("_id").alias("patient"), "age", "gender"), "patient", "left")
 
 
 @query("SELECT patient, visit, k FROM (SELECT patient, _id AS visit, row_number() OVER (PARTITION BY patient ORDER BY createdAt DESC, _id DESC) AS k FROM clinical_extractions WHERE patient IS NOT NULL) WHERE k <= 3")
@@ -124,18 +159,10 @@ def recent_visits(s, d):
     return table(s, d, "clinical_extractions").where("patient IS NOT NULL").select("patient", F.col("_id").alias("visit"), F.row_number().over(w).cast("bigint").alias("k")).where("k <= 3")
 
 
-_STOPPED = r"\b(discontinu|stop|cease|withdr)[a-z]*\b"
-
-
-@query(
-    _BASE + rf", said AS (SELECT patient, _id AS visit, unnest(list_distinct(string_split_regex(regexp_replace(lower(aiSummary), '[^a-z0-9]', ' ', 'g'), '\s+'))) AS word FROM clinical_extractions WHERE patient IS NOT NULL AND regexp_matches(lower(aiSummary), '{_STOPPED}')) SELECT DISTINCT s.patient, s.visit, s.word AS key FROM said s JOIN seen k ON k.patient = s.patient AND k.key = s.word"
-)
+@query(_MENTIONS + "SELECT patient, visit, key FROM mentions")
 def discontinued_mentions(s, d):
-    """Summaries that speak of stopping and name a medicine the patient has on record; words meet on (patient, word)."""
-    e = table(s, d, "clinical_extractions").where("patient IS NOT NULL").where(F.lower("aiSummary").rlike(_STOPPED))
-    words = F.array_distinct(F.split(F.regexp_replace(F.lower("aiSummary"), "[^a-z0-9]", " "), r"\s+"))
-    said = e.select("patient", F.col("_id").alias("visit"), F.explode(words).alias("key"))
-    return said.join(_seen(s, d).select("patient", "key"), ["patient", "key"]).select("patient", "visit", "key").distinct()
+    """Summaries and notes that speak of stopping, with the medicines named in them."""
+    return _mentions(s, d)
 
 
 _TREND = "CASE WHEN regexp_matches(lower(testName), 'a1c|glycated') THEN 'HBA1C' WHEN regexp_matches(lower(testName), 'glucose|fbs|sugar') THEN 'GLUCOSE' WHEN regexp_matches(lower(testName), 'creat') THEN 'CREATININE' WHEN regexp_matches(lower(testName), 'chol') THEN 'CHOLESTEROL' END"
