@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from recordloom.plans import comparison, details, history, lifecycle, p01_references, p06_units, relational, retrieval, scalars, search
+from recordloom.plans import comparison, details, history, lifecycle, normal, p01_references, p06_units, relational, retrieval, scalars, search
 from recordloom.streaming import runs
 
-MODULES = [p01_references, p06_units, relational, search, history, comparison, retrieval, lifecycle, scalars, details, runs]
+MODULES = [p01_references, p06_units, relational, search, history, comparison, retrieval, lifecycle, normal, scalars, details, runs]
 
 
 def queries() -> dict:
