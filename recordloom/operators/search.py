@@ -91,16 +91,16 @@ def phrases(fields: DataFrame) -> DataFrame:
 def by_prefix(queries: DataFrame, known: DataFrame, page: int = PREFIX_PAGE) -> DataFrame:
     """(query_id, id, kind): the first entities, by id, of those with a phrase that begins with the query.
 
-    Of each query the first 25 count, and those with a phrase that equals it, up to ``page`` in all. Distinct phrases and queries
-    meet on a beginning nearly as long as the query; phrases of a common beginning, and entities of a common phrase, are spread
-    over tasks. An empty query finds nothing.
+    Of each query the first 25 count, and those with a phrase that equals it, up to ``page`` in all. Phrases and queries
+    meet on a beginning nearly as long as the query; entities of a common beginning are spread over tasks. An empty query finds nothing.
     """
     size = F.coalesce(*(F.when(F.length("q") >= n, F.lit(n)) for n in reversed(HEADS)))
-    asked = queries.where("q <> ''").select("query_id", "q", F.substring(F.col("q"), F.lit(1), size).alias("head"))
-    heads = F.filter(F.array(*(F.when(F.length("phrase") >= n, F.substring("phrase", 1, n)) for n in HEADS)), lambda x: x.isNotNull())
-    begun = known.select("phrase").distinct().select("phrase", F.explode(heads).alias("head"))
-    met = salted_join(begun, asked, ["head"], F.col("phrase")).where(F.col("phrase").startswith(F.col("q"))).select("query_id", "q", "phrase")
-    each = salted_join(known, met, ["phrase"], F.col("id")).groupBy("query_id", "id", "kind").agg(F.max((F.col("phrase") == F.col("q")).cast("int")).alias("whole"))
+    asked = queries.where("q <> ''").withColumn("size", size).select("query_id", "q", "size", F.substring(F.col("q"), F.lit(1), F.col("size")).alias("head"))
+    sizes = asked.agg(F.collect_set("size").alias("sizes"))  # one row with at most len(HEADS) numbers
+    heads = F.transform(F.filter("sizes", lambda n: n <= F.length("phrase")), lambda n: F.substring(F.col("phrase"), F.lit(1), n))
+    begun = known.join(F.broadcast(sizes)).select("id", "kind", "phrase", F.explode(heads).alias("head"))
+    met = salted_join(begun, asked, ["head"], F.col("id")).where(F.col("phrase").startswith(F.col("q")))
+    each = met.groupBy("query_id", "id", "kind").agg(F.max((F.col("phrase") == F.col("q")).cast("int")).alias("whole"))
 
     def first(rows: DataFrame, k: int) -> DataFrame:
         return rows.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).where(F.col("k") <= k).select("query_id", "id", "kind")
@@ -128,7 +128,7 @@ def fused(queries: DataFrame, fields: DataFrame) -> DataFrame:
     neither finds take the entities of the nearest phrase within two edits: 75 less 15 for each edit. 40 for entities that only a
     substring finds. An empty query finds nothing.
     """
-    index, known = lookup(queries, postings(fields)), phrases(fields)
+    index, known = lookup(queries, postings(fields)), checkpointed(phrases(fields))
     prefix = by_prefix(queries, known).select("query_id", "id", F.lit(True).alias("by_prefix"))
     both = index.select("query_id", "id", F.col("score").alias("s")).join(prefix, ["query_id", "id"], "full")
     value = F.when(F.col("by_prefix") & F.col("s").isNotNull(), PREFIX_SCORE + BOTH_FACTOR * F.col("s")).when(F.col("by_prefix"), F.lit(PREFIX_SCORE)).otherwise(INDEX_FACTOR * F.col("s"))
