@@ -31,7 +31,6 @@ WRAPPED = re.compile(r"\n[ \t]*(?=[a-zß-ÿ])")  # a line break inside a sentenc
 STOP, LINE, TERM, TERM_BEGUN, PAIR = "\x02", "\x03", "<t>", "<", "\x04"
 _MASK = bytes(35 if 48 <= k < 58 else 32 if k < 32 and k not in (9, 10) else k for k in range(256))  # digits and control characters
 _LAST = "\U0010ffff"
-LONG = 12  # words from which a stretch without a stop counts as running text, whose places are counted by contexts
 CLOSED, NUMBER_END, IS_DAMAGED, MARKED = 1, 2, 4, 8
 PRIOR, WEIGHT = 0.02, 20.0  # share of places where a text may stop, and the weight of a shorter context in that of a longer one
 PARTS = pa.schema([
@@ -65,8 +64,8 @@ def _gram(source: str, words: list[str]) -> int:
 def parts(texts: DataFrame, terms: list[str]) -> DataFrame:
     """The parts of each text of ``texts`` (source, text, t1, t2), summed up within batches.
 
-    kind 'S': a sentence v that is complete, n times; or PAIR + word + PAIR + next word inside running text. 'G': a context of two,
-    three or four words (hash in g2), seen n times, of these ``stops`` at the end of a stretch. 'E': the end v of a text, ``other`` if
+    kind 'S': a sentence v that is complete, n times; or PAIR + word + PAIR + next word inside a sentence or line. 'G': a context of two,
+    three or four words (hash in g2) of all sentences and lines, seen n times, of these ``stops`` at the end of one. 'E': the end v of a text, ``other`` if
     its last word may be a term begun, the pairs of its last words, its contexts, and flags.
     """
     known = frozenset(terms)
@@ -90,9 +89,7 @@ def parts(texts: DataFrame, terms: list[str]) -> DataFrame:
                 complete = found if flags & (CLOSED | NUMBER_END) == CLOSED else found[:-1]
                 seen.update(zip([source] * len(complete), complete))
                 held = inside.setdefault(source, (Counter(), Counter(), Counter(), Counter()))
-                for k, s in enumerate(found, 1):
-                    if k < len(found) and s.count(" ") < LONG:
-                        continue
+                for s in found:
                     words = ["^", "^", "^", *s.split(" ")]
                     for size in (2, 3, 4):
                         held[size - 2].update(zip(*(words[i:] for i in range(4 - size, 4))))

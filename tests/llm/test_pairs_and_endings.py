@@ -1,5 +1,6 @@
 import pytest
 
+from recordloom.llm import endings as E
 from recordloom.llm import pairs as P
 from recordloom.llm.endings import cut_texts
 
@@ -54,6 +55,14 @@ def test_cut_texts(spark):
     assert cut_texts(df.limit(0)).count() == 0
 
 
+def test_places_of_all_sentences_are_counted(spark):
+    texts = ["The dose is low. The dose is high\nThe dose is as before. Seen today."] * 3
+    got = E.parts(E.text_keys(spark.createDataFrame([("s", t) for t in texts], "source string, text string")), []).collect()
+    grams = {words: tuple(sum(x) for x in zip(*((r.n, r.stops) for r in got if r.kind == "G" and r.g2 == E._gram("s", words.split())))) for words in ("dose is", "is low", "the dose is high", "seen today")}
+    assert grams == {"dose is": (9, 0), "is low": (3, 3), "the dose is high": (3, 3), "seen today": (3, 3)}
+    assert sum(r.n for r in got if r.v == E.PAIR + "dose" + E.PAIR + "is") == 9
+
+
 def test_defective(spark):
     rows = [(1, "No, it was filed on 15 March.", "Is TSH pending?", False), (2, None, "Is TSH pending?", True), (3, "Is TSH pending?", "Is TSH pending?", False), (4, "I must decline to comment.", None, False), (5, "La próxima revisión será dentro de 13 días.", "When is the next visit of the patient?", False)]
     df = spark.createDataFrame(rows, "answer_id int, answer string, question string, answer_blank boolean")
