@@ -2,7 +2,7 @@ import datetime as dt
 import random
 
 from recordloom.llm import mixing as M
-from recordloom.llm.entities import average_linkage, linked, name_likeness
+from recordloom.llm.entities import average_linkage, linked, name_likeness, pair_score, people_of, scored_pairs
 from recordloom.llm.leaks import automaton, leaked, passages
 
 ITEM = "A seventy-one-year-old seamstress notices brittle nails after a winter of overtime. Rejecting graft rejection, they call the renal team before swelling closes the airway."
@@ -103,6 +103,22 @@ def test_links(spark):
     assert linked(people(spark, [])).count() == 0
 
 
+def test_every_pair_that_scores_enough_is_found(spark):
+    """Two rows of each person: near dates, phones with a slip, short forms and initials without a common trigram; against all pairs."""
+    d = dt.date(1973, 8, 5)
+    couples = [
+        (("Ann Orlowska", None, None, d, "F"), ("Ann Orlowska", None, None, dt.date(1973, 5, 8), "F")), (("Mark Tolliver", None, None, d, "M"), ("Mrak Toliver", None, None, dt.date(1974, 8, 4), "M")),
+        (("Bob Yarphiland", None, "6071234567", None, "M"), ("Robert Yarphiland", None, "6071243567", None, "M")), (("Bob", None, None, dt.date(1950, 1, 9), "M"), ("Robert", None, None, dt.date(1950, 1, 9), "M")),
+        (("Q Z", None, None, dt.date(1961, 2, 3), None), ("Quentin Zorbas", None, None, dt.date(1961, 2, 3), None)), (("Liz", "PT0031415926", None, None, None), ("Elizabeth", "PT0031415926", None, None, None)),
+        (("Ulla Varga", "PT0027182818", "6099999991", dt.date(1988, 4, 4), "F"), ("Petra Simko", "PT0027182818", "609999991", dt.date(1988, 4, 14), "F")),
+    ]
+    df = people(spark, [(2 * k + j, *row) for k, couple in enumerate(couples) for j, row in enumerate(couple)])
+    rows = sorted(people_of(df).collect(), key=lambda r: r.id)
+    want = {(a.id, b.id) for a in rows for b in rows if a.id < b.id and pair_score(a.name, b.name, a.birth, b.birth, a.mrn, b.mrn, a.phone, b.phone, a.sex, b.sex, 0.0) >= 0.4}
+    assert want >= {(2 * k, 2 * k + 1) for k in range(len(couples))}
+    assert {(r.a, r.b) for r in scored_pairs(people_of(df)).where("score >= 0.4").collect()} >= want
+
+
 def test_name_likeness():
     assert name_likeness("michael a galmibury", "galmibury mike")[0] >= 0.78
     assert name_likeness("m galmibury", "michael galmibury")[1] > 0
