@@ -72,16 +72,37 @@ def postings(fields: DataFrame) -> DataFrame:
     return words.groupBy("token", "id", "kind").agg(F.round(F.sum("w"), 4).alias("score"), F.countDistinct("field").alias("n_fields"))
 
 
-def lookup(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, id, kind, score, hits): summed scores, raised by half where every token of the query is met.
+def asked_tokens(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.size(tokens(F.col("q"))).alias("n"), F.explode(tokens(F.col("q"))).alias("token"))
+
+
+def lookup(queries: DataFrame, index: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, kind, score, hits): summed scores, raised by half where every token of the query is met; of the pairs
+    ``among`` (query_id, id) only, if these are given.
 
     Entities of a common token are spread over tasks. A query without tokens finds nothing.
     """
-    asked = queries.select("query_id", F.size(tokens(F.col("q"))).alias("n"), F.explode(tokens(F.col("q"))).alias("token"))
-    met = salted_join(index.select("token", "id", "kind", "score"), asked, ["token"], F.col("id")).groupBy("query_id", "id", "kind").agg(F.sum("score").alias("score"), F.count("*").alias("hits"), F.max("n").alias("n"))
+    asked, index = asked_tokens(queries), index.select("token", "id", "kind", "score")
+    each = salted_join(index, asked, ["token"], F.col("id")) if among is None else among.join(asked, "query_id").join(index, ["token", "id"])
+    met = each.groupBy("query_id", "id", "kind").agg(F.sum("score").alias("score"), F.count("*").alias("hits"), F.max("n").alias("n"))
     return met.select("query_id", "id", "kind", F.round(F.col("score") * F.when(F.col("hits") == F.col("n"), ALL_TOKENS_BOOST).otherwise(1.0), 4).alias("score"), "hits")
 
 
+def leading(queries: DataFrame, index: DataFrame, page: int) -> DataFrame:
+    """(query_id, id): all entities of the index that can be among the first ``page`` of ``fused`` by score, then id.
+
+    Entities with two tokens of a query have one besides its most common token, so the entities of the other tokens are all
+    taken. Of those with the most common token alone, one with ``page`` entities before it that are not found by prefix is out, as a
+    further token never lowers a score; a prefix has PREFIX_PAGE entities at most.
+    """
+    asked = asked_tokens(queries).select("query_id", "token").distinct()
+    common = index.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = checkpointed(asked.join(common, "token").withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("df"), "token"))))
+    first = index.withColumn("place", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("score"), "id"))).where(F.col("place") <= page + PREFIX_PAGE)
+    single = ranked.where("k = 1").join(first.select("token", "id"), "token").select("query_id", "id")
+    return single.unionByName(salted_join(index.select("token", "id"), ranked.where("k > 1").select("query_id", "token"), ["token"], F.col("id")).select("query_id", "id"))
+
+
 def phrases(fields: DataFrame) -> DataFrame:
     """(id, kind, phrase): whole field values in lower case that prefixes are looked up in."""
     known = fields.where("field IN ('fullName', 'mrn', 'phone', 'originalFilename', 'documentType', 'month', 'name', 'genericName', 'testName', 'title', 'diagnosis')")
@@ -121,15 +142,23 @@ def by_substring(queries: DataFrame, fields: DataFrame) -> DataFrame:
     return contains_join(queries, shown)
 
 
-def fused(queries: DataFrame, fields: DataFrame) -> DataFrame:
-    """(query_id, id, stage, score) over all stages.
+def fused(queries: DataFrame, fields: DataFrame, page: int | None = None) -> DataFrame:
+    """(query_id, id, stage, score) over all stages; with ``page``, entities may be missing that are not among the first ``page`` of
+    their query by score, then id.
 
     100 for a prefix plus five times the index score, and ten times the index score alone. Queries of three letters or more that
     neither finds take the entities of the nearest phrase within two edits: 75 less 15 for each edit. 40 for entities that only a
     substring finds. An empty query finds nothing.
     """
-    index, known = lookup(queries, postings(fields)), checkpointed(phrases(fields))
+    known = checkpointed(phrases(fields))
     prefix = by_prefix(queries, known).select("query_id", "id", F.lit(True).alias("by_prefix"))
+    held = by_substring(queries, fields)
+    if page is None:
+        index = lookup(queries, postings(fields))
+    else:
+        prefix, held = checkpointed(prefix), checkpointed(held)
+        met = checkpointed(postings(fields).select("token", "id", "kind", "score").join(asked_tokens(queries).select("token").distinct(), "token", "left_semi"))
+        index = lookup(queries, met, leading(queries, met, page).unionByName(prefix.select("query_id", "id")).unionByName(held).distinct())
     both = index.select("query_id", "id", F.col("score").alias("s")).join(prefix, ["query_id", "id"], "full")
     value = F.when(F.col("by_prefix") & F.col("s").isNotNull(), PREFIX_SCORE + BOTH_FACTOR * F.col("s")).when(F.col("by_prefix"), F.lit(PREFIX_SCORE)).otherwise(INDEX_FACTOR * F.col("s"))
     scored = checkpointed(both.select("query_id", "id", F.when(F.col("by_prefix"), "prefix").otherwise("index").alias("stage"), F.round(value, 3).alias("score")))
@@ -137,7 +166,7 @@ def fused(queries: DataFrame, fields: DataFrame) -> DataFrame:
     nearest = checkpointed(suggestions(missed, known))
     close = by_prefix(nearest.select("query_id", F.col("suggestion").alias("q")), known, FUZZY_PAGE).join(nearest, "query_id")
     found = scored.unionByName(close.select("query_id", "id", F.lit("fuzzy").alias("stage"), (FUZZY_SCORE - FUZZY_STEP * F.col("distance")).alias("score")))
-    rest = by_substring(queries, fields).join(found.select("query_id", "id"), ["query_id", "id"], "left_anti").select("query_id", "id", F.lit("substring").alias("stage"), F.lit(SUBSTRING_SCORE).alias("score"))
+    rest = held.join(found.select("query_id", "id"), ["query_id", "id"], "left_anti").select("query_id", "id", F.lit("substring").alias("stage"), F.lit(SUBSTRING_SCORE).alias("score"))
     return found.unionByName(rest)
 
 

@@ -43,8 +43,8 @@ def _of_each(results: DataFrame, asked: DataFrame) -> DataFrame:
     return results.withColumnRenamed("query_id", "q").join(asked, "q").drop("q")
 
 
-def _fused(s: SparkSession, d: str, asked: DataFrame) -> DataFrame:
-    return S.fused(asked.select(F.col("q").alias("query_id"), "q").distinct(), _fields(s, d))
+def _fused(s: SparkSession, d: str, asked: DataFrame, page: int | None = None) -> DataFrame:
+    return S.fused(asked.select(F.col("q").alias("query_id"), "q").distinct(), _fields(s, d), page)
 
 
 def _case(kind: str) -> str:
@@ -140,7 +140,7 @@ def search_substring(s, d):
 @query(_FIELDS + "SELECT query_id, place, id, stage, score FROM page")
 def search_hybrid(s, d):
     """The first page of each name; equal names are asked once."""
-    return _of_each(S.top_results(_fused(s, d, _asked(s, d))), _asked(s, d)).select("query_id", "place", "id", "stage", "score")
+    return _of_each(S.top_results(_fused(s, d, _asked(s, d), 15)), _asked(s, d)).select("query_id", "place", "id", "stage", "score")
 
 
 @query(_search_sql(_SLIP) + "SELECT query_id, place, id, stage, score FROM page")

@@ -45,6 +45,20 @@ def test_prefix_page_equals_brute_force(spark):
     assert {(r.query_id, r.id) for r in got} == want and len(got) == len(want)
 
 
+def test_page_needs_few_entities_of_a_common_token(spark):
+    """The first page is that of all entities; of 300 entities of a common token only those that can be on it are joined with each query."""
+    rows = [(f"patient_{i:03d}", "patient", t, None, "fullName", t) for i, t in enumerate(["Ann Lee", "Lee Ann Ann", "Marianna Leeds", *(f"Ann {'xyz'[i % 3]}{i}q" for i in range(300)), *["Ann"] * 3])]
+    rows += [("rec_1", "record", "ann", "LAB", "verificationNotes", "ann " * 30), ("rec_2", "record", "ann lee", "LAB", "verificationNotes", "lee " * 12)]
+    fields, asked = spark.createDataFrame(rows, FIELDS), ["ann lee", "ann x0q", "ann", "ann ann", "anna le", "lee", "zann lee"]
+    queries = spark.createDataFrame([(q, q) for q in asked], "query_id string, q string")
+
+    def first(page):
+        return {tuple(r) for r in S.top_results(S.fused(queries, fields, page)).select("query_id", "place", "id", "stage", "score").collect()}
+
+    assert first(15) == first(None)
+    assert S.leading(queries.where("q = 'ann x0q'"), S.postings(fields), 15).distinct().count() <= 15 + S.PREFIX_PAGE + 1
+
+
 @pytest.mark.parametrize("asked, size", [(None, 20), ("", 20), ("abc", 20), (0, 20), ("30", 30), (500, 50), (15, 15)])
 def test_page_size(asked, size):
     assert S.page_size(asked) == size
