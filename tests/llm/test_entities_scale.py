@@ -1,7 +1,9 @@
 import datetime as dt
 import random
 
-from recordloom.llm.entities import LEAST_COSINE, candidate_pairs, folded_name, met, name_vectors
+from recordloom.llm import entities
+from recordloom.llm.entities import LEAST_COSINE, candidate_pairs, date_keys, date_likeness, day_keys, distance_within, folded_name, likely, met, name_vectors, near_dates, pair_score
+from recordloom.llm.names import weighted_distance
 from pyspark.sql import functions as F
 
 
@@ -44,3 +46,57 @@ def test_split_keys_meet_all(spark, monkeypatch):
     df = spark.createDataFrame([(1, k) for k in range(20)] + [(2, k) for k in range(2)] + [(3, 7)], "key bigint, id bigint")
     got = sorted((r.key, r.a, r.b) for r in met(df, []).collect())
     assert got == sorted([(1, a, b) for a in range(20) for b in range(a + 1, 20)] + [(2, 0, 1)])
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    """What explode makes of a small table can be large: neither side of the join is sent to the driver, whatever Spark's estimate."""
+    small = spark.range(40).select((F.col("id") % 4).alias("key"), "id")
+    for pairs in (met(small, []), met(small, [], others=small)):
+        assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+        assert pairs.where("a < b").count() == 4 * 45
+
+
+def test_rows_of_two_tables_meet_also_on_large_keys(spark, monkeypatch):
+    monkeypatch.setattr(entities, "SPLIT", 3)
+    left = spark.range(10).select(F.lit(1).alias("key"), "id").union(spark.range(2).select(F.lit(2), "id"))
+    right = spark.range(12).select(F.lit(1).alias("key"), "id").union(spark.range(3).select(F.lit(2), "id"))
+    want = sorted([(1, a, b) for a in range(10) for b in range(12) if a != b] + [(2, a, b) for a in range(2) for b in range(3) if a != b])
+    for sent in (0, 9):
+        monkeypatch.setattr(entities, "SENT_KEYS", sent)
+        got = met(left, [], others=right, counted=left.where("key = 1"))
+        assert sorted((r.key, r.a, r.b) for r in got.select("key", "a", "b").collect()) == want
+
+
+def test_dates_near_each_other_share_a_key(spark):
+    """Those that date_likeness calls near, and only these, for all dates around three of them."""
+    firsts = [dt.date(1973, 8, 5), dt.date(1937, 12, 12), dt.date(1904, 2, 29), dt.date(2000, 1, 31)]
+    dates = sorted({d + dt.timedelta(days=x) for d in firsts for x in (*range(-40, 41), *range(355, 375), *range(3640, 3660), 36524, 36525)} | {dt.date(y, d.month, min(d.day, 28)) for d in firsts for y in range(1860, 2041)} | {dt.date(d.year, m, k) for d in firsts for m in range(1, 13) for k in (5, 8, 12)})
+    known = spark.createDataFrame([(d,) for d in dates], "d date")
+    later, earlier = day_keys(F.col("d"))
+    kept = [r for r in known.select("d", date_keys(F.col("d")).alias("k"), later.alias("later"), earlier.alias("earlier")).collect()]
+    a, b = known.withColumnRenamed("d", "a"), known.withColumnRenamed("d", "b")
+    near = {(r.a, r.b) for r in a.join(b, near_dates(F.col("a"), F.col("b"))).where("a < b").collect()}
+    want = {(x, y) for x in dates for y in dates if x < y and date_likeness(x, y) == "near"}
+    assert near == want
+    keys = {r.d: (set(r.k), set(r.later), set(r.earlier)) for r in kept}
+    assert all(keys[x][0] & keys[y][0] or keys[x][2] & keys[y][1] for x, y in want)
+
+
+def test_bounds_hold(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("aeilnorstzkcuvbdm") for _ in range(rng.randrange(1, 11))) for _ in range(60)]
+    words += [w[:i] + rng.choice("eiynmzs") + w[i + rng.randrange(2) :] for w in words for i in (0, len(w) // 2)]
+    for _ in range(4000):
+        x, y, limit = rng.choice(words), rng.choice(words), rng.choice((1.25, 2.3, 3.0))
+        d, got = weighted_distance(x, y), distance_within(x, y, limit)
+        assert got == d if d <= limit else got > limit
+    born, numbers = [None, dt.date(1973, 8, 5), dt.date(1973, 5, 8), dt.date(1950, 1, 1)], [None, "6071234567", "6071243567", "607123456", "6091234567", "1"]
+    people = [(k, rng.choice(("ann orlowska", "ann", "orlowska a", "mark tolliver", None)), rng.choice(born), rng.choice(numbers), rng.choice(numbers), rng.choice(("m", "f", None))) for k in range(120)]
+    df = spark.createDataFrame(people, "id int, name string, birth date, mrn string, phone string, sex string")
+    pairs = df.select(F.col("id").alias("a")).join(df.select(F.col("id").alias("b"))).where("a < b")
+    kept = {(r.a, r.b) for r in likely(pairs, df, 0.4).collect()}
+    for a in people:
+        for b in people[a[0] + 1 :]:
+            score = pair_score(a[1], b[1], a[2], b[2], a[3], b[3], a[4], b[4], a[5], b[5], 1.0)
+            assert (a[0], b[0]) in kept if score >= 0.4 else True, (a, b)
+    assert 0 < len(kept) < 120 * 119 / 4
